@@ -149,7 +149,7 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     none = F.expr("cast(array() as array<struct<start:int,order:int,end:int,rule:string>>)")
     return (
         docs.withColumn("_blob", F.sha2(text_of(), 256))
-        .join(hits, "_blob", "left")
+        .join(hits.hint("rebalance"), "_blob", "left")  # its own exchange lets Spark split a blob that many paths share
         .drop("_blob")
         .withColumn("_found", F.coalesce("_found", none))
     )

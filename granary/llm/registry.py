@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import bytebpe, decontaminate, langid, secrets, sharding, tokencount
+from granary.llm import bytebpe, decontaminate, langid, neardup, secrets, sharding, tokencount
 from granary.llm.shared import docs_of
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_secret_scan": lambda spark, d: secrets.scan(docs_of(spark, d)),
         "op3_language_id": lambda spark, d: langid.identify(docs_of(spark, d)),
+        "op5_near_duplicates": lambda spark, d: neardup.near_duplicates(docs_of(spark, d)),
         "op6_decontaminate": lambda spark, d: decontaminate.contaminated(docs_of(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
         "op7_byte_bpe": lambda spark, d: bytebpe.digests(docs_of(spark, d)),
         "op8_sharding": lambda spark, d: sharding.shuffle_rows(docs_of(spark, d)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import bytebpe, decontaminate, langid, neardup, secrets, sharding, tokencount
+from granary.llm import bytebpe, decontaminate, langid, nearest, neardup, secrets, sharding, tokencount
 from granary.llm.shared import docs_of
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_decontaminate": lambda spark, d: decontaminate.contaminated(docs_of(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
         "op7_byte_bpe": lambda spark, d: bytebpe.digests(docs_of(spark, d)),
         "op8_sharding": lambda spark, d: sharding.shuffle_rows(docs_of(spark, d)),
+        "op9_nearest": lambda spark, d: nearest.search(spark.read.parquet(f"{d}/embeddings.parquet")),
         "op10_token_counts": lambda spark, d: tokencount.counts(docs_of(spark, d)),
     }
 

@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.shared import parts
+
 #: Bytes of text that are encoded at a time.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 def default_vocabulary() -> str:
@@ -109,7 +111,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in chunks(texts):
                 some = own.encode(texts[a:b])
@@ -138,7 +140,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", to: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in parts(batches):
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 packed = part.column(at).to_pylist()

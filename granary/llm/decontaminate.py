@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.shared import parts
+
 ERRORS, SHORT, BLOCK = 0.06, 24, 1 << 20
 MATCH = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 
@@ -154,7 +156,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], errors: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(shared.value, errors)
-        for batch in batches:
+        for batch in parts(batches):
             found = [own.search(normal(t)) for t in batch.column(at).to_pylist()]
             before = batch.column(to).to_pylist()
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.shared import parts
+
 BUCKETS, DIM, FIT_ROWS, MOST_LANGS = 1 << 16, 16, 4000, 256
 EPOCHS, RATE, SEED = 8, 1.0, 11
 #: How far a step moves a text's mean embedding, against the softmax weights.
@@ -155,7 +157,7 @@ def fit(docs: DataFrame) -> Model:
     chosen = rows.where(F.col("lang").isin(langs)).where(draw <= limit[F.col("lang")]).select(draw.alias("draw"), "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             some = [bag(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([i.tobytes() for i, _ in some]), pa.array([s.tobytes() for _, s in some])],
@@ -181,7 +183,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(at).to_pylist()
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
             for some in slices(texts):

@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 
 from granary.llm import trie
 from granary.llm.hashing import words
-from granary.llm.shared import Scratch, text_of
+from granary.llm.shared import Scratch, parts, text_of
 
 ORDER, N_WORDS, FREQUENT = 3, 128, 65_536
 #: Ids of the class of other words and of the end of a text.
 OTHER, END = 0, 1
 #: Characters hashed at a time; distinct keys that a task sums before it sends.
-CHUNK, HELD = 1 << 20, 1 << 20
+CHUNK, HELD = 1 << 18, 1 << 19
 #: The hash that stands for the end token; no word has it but by accident.
 END_HASH = np.int64(-0x5EED_0E2D_0E2D_5EED)
 
@@ -101,7 +101,7 @@ def summed(texts: DataFrame, keys_of) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Sums()
-        for batch in batches:
+        for batch in parts(batches):
             own = batch.column(0).to_pylist()
             for a, b in chunks(own):
                 held.add(keys_of(own[a:b]))
@@ -289,7 +289,7 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         mapped = opened(own.name)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(3).to_pylist()
             for a, b in chunks(texts):
                 s = own.score(texts[a:b], mapped)

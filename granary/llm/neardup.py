@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from granary.llm.dart import signatures
 from granary.llm.graph import components
 from granary.llm.hashing import mix, shingles, words
-from granary.llm.shared import Scratch
+from granary.llm.shared import Scratch, parts
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
 #: Members of a bucket that one task compares; agreement of signatures below
 #: which a pair isn't compared: over five standard deviations under SIMILAR.
 PART, AGREE = 2048, 0.6
 #: Texts that are hashed at a time, in characters.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def node_of(text: Column) -> Column:
@@ -67,7 +67,7 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= CHUNK or i + 1 - start >= 512:
+        if size >= CHUNK or i + 1 - start >= 128:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
@@ -78,7 +78,7 @@ def bands_of(nodes: DataFrame) -> DataFrame:
     """(node, bands): a number for each band, from (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 own = signatures(sets_of(texts[a:b]), BANDS * ROWS).reshape(-1, BANDS, ROWS)
@@ -96,7 +96,7 @@ def payloads(members: DataFrame) -> DataFrame:
     """(node, keys, sig, elements) from (node, text, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 sets = sets_of(texts[a:b])
@@ -143,7 +143,7 @@ def checked(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
+        for batch in parts(batches):
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if held and row[:2] != held[0][:2] or len(held) >= 2 * PART:
                     done = finish(held)
@@ -180,9 +180,10 @@ def together(members: DataFrame) -> DataFrame:
     return members.repartition(n, "key", "part").sortWithinPartitions("key", "part", "node")
 
 
-def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) links from (node, text), one row per node."""
-    banded = scratch.save(bands_of(texts), "bands").select("node", F.explode("bands").alias("key"))
+def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) links from (node, text); equal rows may repeat."""
+    # Hashing copies again is cheaper than moving texts to find them.
+    banded = scratch.save(bands_of(rows).dropDuplicates(["node"]), "bands").select("node", F.explode("bands").alias("key"))
     buckets = (
         banded.groupBy("key")
         .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
@@ -190,10 +191,11 @@ def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
     )
     distinct = buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     kept = banded.join(distinct.hint("rebalance"), "key").groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("keys"))  # at most BANDS
+    texts = rows.groupBy("node").agg(F.first("text").alias("text"))
     full = payloads(texts.join(kept, "node"))
-    rows = full.select("node", "sig", "elements", F.inline("keys"))
+    members = full.select("node", "sig", "elements", F.inline("keys"))
     parts = F.ceil(F.col("n") / PART)
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node", "key"), parts))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("node", "key"), parts))
     first = scratch.save(checked(together(dealt)), "first")
     sizes = distinct.where(F.col("n") > PART).select("key")
     again = (
@@ -208,8 +210,7 @@ def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
 def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, class_id, class_size, n_texts) for each text with words."""
     rows = docs.select("doc_id", "text").withColumn("node", node_of(F.col("text"))).where(F.col("node").isNotNull())
-    texts = rows.groupBy("node").agg(F.first("text").alias("text"))
-    linked = components(links(texts, scratch), scratch)
+    linked = components(links(rows.select("node", "text"), scratch), scratch)
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     rooted = nodes.join(linked.hint("rebalance"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))

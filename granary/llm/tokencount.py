@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.shared import parts
+
 #: Entries of the broadcast table; of a task's summary; of a worker's cache;
 #: distinct pre-tokens that a task counts before it drops the rarest.
 FREQUENT, SUMMARY, CACHED, COUNTED = 32_768, 8_192, 400_000, 300_000
@@ -79,7 +81,7 @@ def frequent(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = library(path), Counter()
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(own.split(text or "") or ())
                 if len(seen) > COUNTED:
@@ -102,7 +104,7 @@ def counts(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataF
         own = library(path)
         first = dict(zip(table.value[0].decode().split("\n"), table.value[1]))
         cache = dict(first)
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out = []
             for a in range(0, len(texts), 256):

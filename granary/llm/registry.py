@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import bytebpe, decontaminate, langid, lm, nearest, neardup, secrets, sharding, tokencount
+from granary.llm import bytebpe, decontaminate, langid, lm, nearest, neardup, repeats, secrets, sharding, tokencount
 from granary.llm.shared import docs_of
 
 
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_secret_scan": lambda spark, d: secrets.scan(docs_of(spark, d)),
         "op2_lm_score": lambda spark, d: lm.score(docs_of(spark, d)),
         "op3_language_id": lambda spark, d: langid.identify(docs_of(spark, d)),
+        "op4_repeats": lambda spark, d: repeats.digests(docs_of(spark, d)),
         "op5_near_duplicates": lambda spark, d: neardup.near_duplicates(docs_of(spark, d)),
         "op6_decontaminate": lambda spark, d: decontaminate.contaminated(docs_of(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
         "op7_byte_bpe": lambda spark, d: bytebpe.digests(docs_of(spark, d)),

@@ -13,7 +13,7 @@ Documents are packed into shards once; that is the only shuffle of texts.
 2. For those only, shards send the text around: the run of strings that share
    the anchor, each distinct run once, with the least doc_id that holds it.
    A bucket builds the suffix array of its distinct runs (Larsson-Sadakane
-   refinement to depth LENGTH) and Kasai's common prefixes; suffixes with a
+   refinement) and Kasai's common prefixes; suffixes with a
    common prefix of LENGTH or more are equal strings, and the least doc_id of
    each such group is the string's.  It answers each shard's runs by binary
    search among the distinct ones.
@@ -174,7 +174,7 @@ def gathered(raw: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
 def least_ids(raw: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each string of each run, in order, the least doc_id of the runs
     that hold it.  ``raw`` has the runs one after another."""
-    order = suffix_array(raw, LENGTH)
+    order = suffix_array(raw)
     group = np.cumsum(common_prefixes(raw, order) < LENGTH) - 1
     starts = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(size)), size)

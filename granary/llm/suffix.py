@@ -13,9 +13,8 @@ def packed(raw: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(raw)].copy().view(">u8").ravel().astype(np.uint64)
 
 
-def suffix_array(raw: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Places of the suffixes in order.  With ``depth``, suffixes that agree in
-    that many bytes may stand in any order among themselves.
+def suffix_array(raw: np.ndarray) -> np.ndarray:
+    """Places of the suffixes in order.
 
     A group's number is the place of its last member in the order, so a group
     of one is final and is not looked at again; each round sorts the others'
@@ -40,7 +39,7 @@ def suffix_array(raw: np.ndarray, depth: int | None = None) -> np.ndarray:
     rank[order] = _last(same)
     known = 8
     todo = _members(same)
-    while len(todo) and (depth is None or known < depth):
+    while len(todo):
         own = order[todo]
         group, after = rank[own], rank[np.minimum(own + known, n)]
         redo = np.lexsort((after, group))

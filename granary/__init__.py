@@ -1,0 +1 @@
+"""Frequent-itemset mining on Spark DataFrames."""

@@ -47,8 +47,9 @@ from granary.llm.shared import parts, text_of
 from granary.llm.suffix import common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 16
-#: Text bytes in a shard, on average; shards with an anchor that make it hot.
-SHARD_BYTES, HOT = 12 << 20, 64
+#: Text bytes in a shard and for each bucket, on average; bytes hashed at a
+#: time; shards with an anchor that make it hot.
+SHARD_BYTES, BUCKET_BYTES, CHUNK, HOT = 6 << 20, 2 << 20, 1 << 20, 64
 #: Stands for a null doc_id.
 NO_ID = np.iinfo(np.int64).max
 
@@ -72,6 +73,32 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def runs_in(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lo, hi and anchor of the runs in some adjoining documents."""
+    sums = prefix(raw)
+    m = len(raw) - GRAM + 1
+    hashes = mix((sums[GRAM:] - sums[:-GRAM]) * powers(len(sums), "down")[:m])
+    # The least hash, leftmost among equals, in each row of windows of a string.
+    least = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(m, dtype=np.uint64)
+    width, want = 1, LENGTH - GRAM + 1
+    while width * 2 <= want:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < want:
+        least = np.minimum(least[: len(least) - (want - width)], least[want - width :])
+    at = (least & np.uint64(0xFFFF_FFFF)).astype(np.int64)
+    inside = np.zeros(len(raw) - LENGTH + 1, dtype=bool)
+    for a, size in zip(starts.tolist(), sizes.tolist()):
+        if size >= LENGTH:
+            inside[a : a + size - LENGTH + 1] = True
+    start = inside.copy()
+    start[1:] &= ~inside[:-1] | (at[1:] != at[:-1])
+    stop = inside.copy()
+    stop[:-1] &= ~inside[1:] | (at[1:] != at[:-1])
+    lo, hi = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    return lo, hi, hashes[at[lo]]
+
+
 class Shard:
     """A shard's documents, in a fixed order, and the anchors of their strings.
 
@@ -93,32 +120,20 @@ class Shard:
         self.id = self.ids[self.doc] if len(self.doc) else np.zeros(0, np.int64)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(self.raw) - LENGTH + 1
-        none = np.zeros(0, dtype=np.int64)
-        if n <= 0:
-            return none, none, np.zeros(0, dtype=np.uint64)
-        self.sums = prefix(self.raw)
-        m = len(self.raw) - GRAM + 1
-        hashes = mix((self.sums[GRAM:] - self.sums[:-GRAM]) * powers(len(self.sums), "down")[:m])
-        # The least hash, leftmost among equals, in each row of windows of a string.
-        least = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(m, dtype=np.uint64)
-        width, want = 1, LENGTH - GRAM + 1
-        while width * 2 <= want:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if width < want:
-            least = np.minimum(least[: len(least) - (want - width)], least[want - width :])
-        at = (least & np.uint64(0xFFFF_FFFF)).astype(np.int64)
-        inside = np.zeros(n, dtype=bool)
-        for a, size in zip(self.starts.tolist(), self.sizes.tolist()):
-            if size >= LENGTH:
-                inside[a : a + size - LENGTH + 1] = True
-        start = inside.copy()
-        start[1:] &= ~inside[:-1] | (at[1:] != at[:-1])
-        stop = inside.copy()
-        stop[:-1] &= ~inside[1:] | (at[1:] != at[:-1])
-        lo, hi = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        return lo, hi, hashes[at[lo]]
+        found, first = [], 0
+        while first < len(self.sizes):
+            # Some documents at a time; one, if it is long.
+            last = max(first + 1, int(np.searchsorted(self.starts + self.sizes, self.starts[first] + CHUNK)))
+            a = int(self.starts[first])
+            b = int(self.starts[last - 1] + self.sizes[last - 1])
+            if b - a >= LENGTH:
+                lo, hi, anchor = runs_in(self.raw[a:b], self.starts[first:last] - a, self.sizes[first:last])
+                found.append((lo + a, hi + a, anchor))
+            first = last
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        lo, hi, anchor = (np.concatenate(x) for x in zip(*found))
+        return lo, hi, anchor
 
     def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Anchors in order, and whether each is in several documents here."""
@@ -140,7 +155,7 @@ class Shard:
         owner = np.repeat(apart, n)
         lo = np.concatenate([self.lo[whole], single])
         size = np.concatenate([self.hi[whole] - self.lo[whole] + LENGTH - 1, np.full(len(single), LENGTH)])
-        content = between(self.sums, lo, lo + size) if len(lo) else np.zeros(0, np.uint64)
+        content = content_of(self.raw, lo, size)
         key = np.concatenate([self.anchor[whole], mix(content[len(whole) :] + np.uint64(1))])
         ids = np.concatenate([self.id[whole], self.id[owner]])
         order = np.lexsort((ids, content, key))
@@ -171,6 +186,17 @@ def gathered(raw: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[at]
 
 
+def content_of(raw: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of raw[lo : lo + size], elementwise, some at a time."""
+    out = np.zeros(len(lo), dtype=np.uint64)
+    step = max(1, CHUNK // (2 * LENGTH))
+    for a in range(0, len(lo), step):
+        n = size[a : a + step].astype(np.int64)
+        ends = np.cumsum(n)
+        out[a : a + step] = between(prefix(gathered(raw, lo[a : a + step], n)), ends - n, ends)
+    return out
+
+
 def least_ids(raw: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each string of each run, in order, the least doc_id of the runs
     that hold it.  ``raw`` has the runs one after another."""
@@ -194,8 +220,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards, buckets = max(least, -(-total // SHARD_BYTES)), max(least, -(-total // BUCKET_BYTES))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
 
     def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 4096):
@@ -216,7 +243,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def send_anchors(group: pa.Table) -> pa.Table:
         own = group.column("shard")[0].as_py()
         names, several = Shard(group.column("blob").to_pylist()).distinct_anchors()
-        out = [(b, pack(names[x:y], several[x:y].view(np.uint8))) for b, x, y in slices_of(bucket_of(names, n))]
+        out = [(b, pack(names[x:y], several[x:y].view(np.uint8))) for b, x, y in slices_of(bucket_of(names, buckets))]
         return table([own] * len(out), [b for b, _ in out], [x for _, x in out])
 
     def merge_anchors(group: pa.Table) -> pa.Table:
@@ -244,8 +271,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         first = distinct(key, content)  # ids are in order within, so the first is the least
         key, lo, size, ids = key[first], lo[first], size[first], ids[first]
         names, _ = shard.distinct_anchors()
-        flag_of = {b: (x, y) for b, x, y in slices_of(bucket_of(names, n))}
-        run_of = {b: (x, y) for b, x, y in slices_of(bucket_of(key, n))}
+        flag_of = {b: (x, y) for b, x, y in slices_of(bucket_of(names, buckets))}
+        run_of = {b: (x, y) for b, x, y in slices_of(bucket_of(key, buckets))}
         out = []
         for b in sorted({*flag_of, *run_of}):
             (p, q), (x, y) = flag_of.get(b, (0, 0)), run_of.get(b, (0, 0))
@@ -257,10 +284,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         lists = [unpack(x) for x in group.column("blob").to_pylist()]
         key, size, ids, raw = (np.concatenate([x[j] for x in lists]) for j in (1, 2, 3, 4))
         size = size.astype(np.int64)
-        sums = prefix(raw)
         starts = np.cumsum(size) - size
-        content = between(sums, starts, starts + size) if len(size) else np.zeros(0, np.uint64)
-        name = mix(key + mix(content))
+        name = mix(key + mix(content_of(raw, starts, size)))
         order = np.lexsort((ids, name))
         first = order[distinct(name[order], name[order])]
         strings = size[first] - LENGTH + 1
@@ -290,20 +315,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         first = distinct(key, content)
         rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
         got = [unpack(x) for _, x in rows]
-        gone = np.zeros(len(shard.raw) + 1, dtype=np.int64)
+        gone = np.zeros(len(shard.raw) + 1, dtype=np.int32)
         if len(first):
             spans, least = (np.concatenate([x[j] for x in got]).astype(np.int64) for j in (2, 3))
-            # One answer for each string of each distinct run, then of each run.
+            # One answer for each string of each distinct run; then each run takes its own, some runs at a time.
             each = np.repeat(least, spans)
             strings = size[first] - LENGTH + 1
             begins = np.cumsum(strings) - strings
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-            n_own = size - LENGTH + 1
-            turn = np.arange(n_own.sum()) - np.repeat(np.cumsum(n_own) - n_own, n_own)
-            place = np.repeat(lo, n_own) + turn
-            hit = place[(each[np.repeat(begins[of], n_own) + turn] < np.repeat(ids, n_own)) & (np.repeat(ids, n_own) != NO_ID)]
-            np.add.at(gone, hit, 1)
-            np.add.at(gone, hit + LENGTH, -1)
+            for a in range(0, len(key), 20_000):
+                n_own = size[a : a + 20_000] - LENGTH + 1
+                turn = np.arange(n_own.sum()) - np.repeat(np.cumsum(n_own) - n_own, n_own)
+                own_id = np.repeat(ids[a : a + 20_000], n_own)
+                lower = each[np.repeat(begins[of[a : a + 20_000]], n_own) + turn] < own_id
+                hit = (np.repeat(lo[a : a + 20_000], n_own) + turn)[lower & (own_id != NO_ID)]
+                np.add.at(gone, hit, 1)
+                np.add.at(gone, hit + LENGTH, -1)
         covered = np.cumsum(gone[:-1]) > 0
         out: dict[str, list] = {c: [] for c, _ in fields}
         for i, a, size_ in zip(shard.ids.tolist(), shard.starts.tolist(), shard.sizes.tolist()):

@@ -38,8 +38,8 @@ TABLES, HASHES, MASS, SEED = 4, 6, 0.55, 77
 #: Width of a cell and the distance at which neighbours are expected, in units
 #: of the largest norm.
 WIDTH, EXPECTED = 2.0, 1.25
-#: Index entries that a task holds at a time.
-BLOCK = 20_000
+#: Index entries that a task holds on average; tasks for a small index.
+BLOCK, LEAST_TASKS = 20_000, 16
 
 
 def usable(vector: Column) -> Column:
@@ -174,7 +174,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, lists(own)], names=["k1", "k2", "embedding", "buckets"])
 
     kind = entries.schema["embedding"].dataType.simpleString()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * TABLES // BLOCK))
+    # By the index's size only: with more tasks each query would bring back more lists of k.
+    tasks = max(LEAST_TASKS, -(-total * TABLES // BLOCK))
     index = entries.select("embedding", "ids").mapInArrow(to_buckets, f"embedding {kind}, ids array<long>, buckets array<long>")
     index = index.select("embedding", "ids", F.explode("buckets").alias("bucket"))
     hot = index.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,7 +62,17 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that a worker turns few texts at a time into
-    Python objects however many rows Spark sends at once."""
+    Python objects however many rows Spark sends at once.  Freed memory goes
+    back to the system, as workers outlive their tasks."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+    trim()
+
+
+def trim() -> None:
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

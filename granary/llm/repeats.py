@@ -96,7 +96,8 @@ def runs_in(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     stop = inside.copy()
     stop[:-1] &= ~inside[1:] | (at[1:] != at[:-1])
     lo, hi = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    return lo, hi, hashes[at[lo]]
+    # Least hashes are small numbers; mixed again, anchors spread evenly over the buckets.
+    return lo, hi, mix(hashes[at[lo]])
 
 
 class Shard:

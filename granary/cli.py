@@ -37,7 +37,7 @@ def _number(kind: Callable[[str], Any], option: str, allowed: str) -> Callable[[
         try:
             return kind(value)
         except ValueError:
-            raise ValueError(_message(option, value, allowed)) from None
+            raise argparse.ArgumentTypeError(_message(option, value, allowed)) from None
 
     return parse
 

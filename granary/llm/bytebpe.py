@@ -18,6 +18,7 @@ No shuffle; memory is bounded by CHUNK bytes of text at a time, or one text.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +47,20 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: Characters whose class is as PIECES takes it; other texts go whole through
+#: the library.
+PLAIN = re.compile("[\x00-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*")
+_SPACE = "\t-\r \x85\xa0"
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+_DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The split before merging, with its classes spelt out for those characters.
+PIECES = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
+#: Pieces in each of the cache's two generations, and the longest kept.
+CACHED, LONGEST = 150_000, 64
+
+
 class Codec:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -59,18 +74,45 @@ class Codec:
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(table[c] for c in token)
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in found]
-
-    def starts(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token: the character in which it begins, and whether it
-        begins inside it."""
-        raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        first = (raw & 0xC0) != 0x80
-        at = np.cumsum(self.sizes[ids]) - self.sizes[ids]
-        return (np.cumsum(first) - 1)[at].astype("<u4"), ~first[at]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text.  Pieces don't touch each other, so the
+        library sees each piece once and a cache has it from then on."""
+        split = [PIECES.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
+        missing = {p for pieces in split if pieces is not None for p in pieces} - self.young.keys()
+        found = {p: self.old[p] for p in missing & self.old.keys()}
+        new = list(missing - found.keys())
+        found.update(zip(new, self.library(new)))
+        self.young.update(found)
+        get = self.young.__getitem__
+        out = [self.library([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split)]
+        for p in found:
+            if len(p) > LONGEST:
+                del self.young[p]
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        return out
+
+    def starts(self, texts: list[str], ids: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each text the characters in which its tokens begin; and how
+        many of its tokens begin inside a character."""
+        raws = [t.encode() for t in texts]
+        first = (np.frombuffer(b"".join(raws), dtype=np.uint8) & 0xC0) != 0x80
+        character = np.cumsum(first) - 1
+        all_ids = np.frombuffer(b"".join(ids), dtype="<u4")
+        sizes = self.sizes[all_ids]
+        at = np.cumsum(sizes) - sizes
+        inside = np.concatenate(([0], np.cumsum(~first[at])))
+        ends = np.cumsum([len(i) // 4 for i in ids])
+        begins = np.concatenate(([0], ends[:-1]))
+        base = np.cumsum([0, *map(len, texts[:-1])])
+        where = (character[at] - np.repeat(base, ends - begins)).astype("<u4")
+        return [where[a:b] for a, b in zip(begins.tolist(), ends.tolist())], inside[ends] - inside[begins]
 
     def decode(self, ids: np.ndarray) -> bytes:
         table = self.bytes
@@ -115,14 +157,14 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in chunks(texts):
                 some = own.encode(texts[a:b])
-                starts = [own.starts(t, i) for t, i in zip(texts[a:b], some)]
+                starts, inside = own.starts(texts[a:b], some)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *batch.slice(a, b - a).columns,
-                        pa.array([len(i) for i in some], pa.int64()),
-                        pa.array([i.tobytes() for i in some], pa.binary()),
-                        pa.array([s.tobytes() for s, _ in starts], pa.binary()),
-                        pa.array([int(x.sum()) for _, x in starts], pa.int64()),
+                        pa.array([len(i) // 4 for i in some], pa.int64()),
+                        pa.array(some, pa.binary()),
+                        pa.array([s.tobytes() for s in starts], pa.binary()),
+                        pa.array(inside, pa.int64()),
                     ],
                     names=[*batch.schema.names, *names],
                 )

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from granary.llm.dart import signatures
 from granary.llm.graph import components
 from granary.llm.hashing import mix, shingles, words
-from granary.llm.shared import Scratch, parts
+from granary.llm.shared import Scratch, fresh, parts
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
 #: Members of a bucket that one task compares; agreement of signatures below
@@ -237,19 +237,20 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     at = F.col("text")
     worded = docs.where(node_of(at).isNotNull())
     found = classes(docs, scratch)
+    node, head, least = (fresh(c, docs) for c in ("_node", "_head", "_class"))
     # The text that holds each class's least doc_id, then one row of that doc_id.
-    rows = worded.select("doc_id", node_of(at).alias("_node"))
-    head = (
-        rows.join(found.hint("rebalance").withColumnRenamed("node", "_node"), "_node")
+    rows = worded.select("doc_id", node_of(at).alias("node"))
+    heads = (
+        rows.join(found.hint("rebalance"), "node")
         .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
         .groupBy("class_id")
-        .agg(F.min("_node").alias("_node"))
+        .agg(F.min("node").alias("node"))
         .where(F.col("class_id").isNotNull())
     )
-    nameless = found.where(F.col("class_id").isNull()).select(F.col("class_id"), F.col("node").alias("_node"))
-    heads = head.unionByName(nameless).withColumnsRenamed({"class_id": "_class"})
-    kept = worded.withColumn("_node", node_of(at)).join(
-        heads.withColumnRenamed("_node", "_head"), F.col("_node").eqNullSafe(F.col("_head")) & F.col("doc_id").eqNullSafe(F.col("_class")), "left_semi"
+    nameless = found.where(F.col("class_id").isNull()).select("class_id", "node")
+    heads = heads.unionByName(nameless).select(F.col("class_id").alias(least), F.col("node").alias(head))
+    kept = worded.withColumn(node, node_of(at)).join(
+        heads, F.col(node).eqNullSafe(F.col(head)) & F.col("doc_id").eqNullSafe(F.col(least)), "left_semi"
     )
-    kept = kept.dropDuplicates(["doc_id", "_node"]).select(*own)
+    kept = kept.dropDuplicates(["doc_id", node]).select(*own)
     return kept.unionByName(docs.where(node_of(at).isNull()))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.shared import text_of
+from granary.llm.shared import fresh, text_of
 
 
 @dataclass(frozen=True)
@@ -122,10 +122,11 @@ def ledger_rows(scanned: DataFrame) -> DataFrame:
     return scanned.select("blob", F.inline("found"))
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_found``: array of (rule, start,
-    end) by start, then by the rule's place in ``rules``.  Pairs in the ledger
-    are taken from it; only others are scanned."""
+def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, to: str = "_found") -> DataFrame:
+    """All rows and columns of ``docs`` with a column ``to``: array of (rule,
+    start, end) by start, then by the rule's place in ``rules``.  Pairs in the
+    ledger are taken from it; only others are scanned."""
+    address = fresh("_blob", docs)
     hits = scan_blobs(docs, ledger, rules).where(F.exists("found", lambda x: F.size(x.spans) > 0))
     if ledger is not None:
         names = [f"{r.name}@{r.version}" for r in rules]
@@ -145,13 +146,13 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
             ),
         )
     )
-    hits = hits.select(F.col("blob").alias("_blob"), F.array_sort(flat).alias("_found"))
+    hits = hits.select(F.col("blob").alias(address), F.array_sort(flat).alias(to))
     none = F.expr("cast(array() as array<struct<start:int,order:int,end:int,rule:string>>)")
     return (
-        docs.withColumn("_blob", F.sha2(text_of(), 256))
-        .join(hits.hint("rebalance"), "_blob", "left")  # its own exchange lets Spark split a blob that many paths share
-        .drop("_blob")
-        .withColumn("_found", F.coalesce("_found", none))
+        docs.withColumn(address, F.sha2(text_of(), 256))
+        .join(hits.hint("rebalance"), address, "left")  # its own exchange lets Spark split a blob that many paths share
+        .drop(address)
+        .withColumn(to, F.coalesce(to, none))
     )
 
 
@@ -175,9 +176,10 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans
     are merged first.  Rows and columns stay."""
-    found = findings(docs)
+    name = fresh("_found", docs)
+    found = findings(docs, to=name)
     merged = F.aggregate(
-        "_found",
+        name,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.when(x.end <= s.at, s).otherwise(
             F.struct(
@@ -188,7 +190,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             )
         ),
     )
-    cut = F.when(F.size("_found") == 0, F.col("text")).otherwise(
+    cut = F.when(F.size(name) == 0, F.col("text")).otherwise(
         F.concat(merged.out, F.substring("text", merged["at"] + 1, F.length("text")))
     )
     return found.withColumn("text", cut).select(*docs.columns)

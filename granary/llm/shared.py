@@ -56,6 +56,13 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, longer if the table has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -45,8 +45,8 @@ def test_decontaminate_against_brute_force(spark, docs_table, prose, clashing, m
         item = list(items[i % 8][1])
         for _ in range(rng.choice([0, 1, 2, 4, 9, 14])):
             item[rng.randrange(len(item))] = rng.choice(["", "Q", "xy"])
-        rows.append((i, prose(i, 30) + "  " + "".join(item).upper() + "\n" + prose(i + 100, 30) if i % 5 else prose(i, 50)))
-    rows += [(41, "a tiny  ITEM."), (42, "atiny item"), *EDGES]
+        rows.append((100 + i, prose(i, 30) + "  " + "".join(item).upper() + "\n" + prose(i + 100, 30) if i % 5 else prose(i, 50)))
+    rows += [(141, "a tiny  ITEM."), (142, "atiny item"), *EDGES]
     table = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(docs_table(rows), table).collect()}
     want = {}
@@ -58,7 +58,7 @@ def test_decontaminate_against_brute_force(spark, docs_table, prose, clashing, m
                 n, _ = edit(item, text)
                 if n <= int(len(item) * decontaminate.ERRORS):
                     want[d, k] = n
-    want[41, 10] = 0
+    want[141, 10] = 0
     assert got == want
     assert len({k[1] for k in want}) >= 6 and any(0 < n for n in want.values())
     kept = decontaminate.keep_clean(docs_table(rows), table)

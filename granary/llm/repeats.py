@@ -21,7 +21,7 @@ Documents are packed into shards once; that is the only shuffle of texts.
 
 A passage that many documents share arrives once per shard, not per document.
 Runs at its edges differ from document to document but share an anchor; for
-anchors that more than HOT shards hold, the strings of a run go separately,
+anchors of more than HOT different runs, the strings of a run go separately,
 each to the bucket of its own hash, so that no bucket gathers them.
 
 Defined results: strings are compared as UTF-8 bytes within documents; a null
@@ -48,15 +48,15 @@ from granary.llm.suffix import common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 16
 #: Text bytes in a shard and for each bucket, on average; bytes hashed at a
-#: time; shards with an anchor that make it hot.
-SHARD_BYTES, BUCKET_BYTES, CHUNK, HOT = 6 << 20, 2 << 20, 1 << 20, 64
+#: time; different runs of an anchor that make it hot.
+SHARD_BYTES, BUCKET_BYTES, CHUNK, HOT = 12 << 20, 2 << 20, 1 << 20, 8192
 #: Stands for a null doc_id.
 NO_ID = np.iinfo(np.int64).max
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *[x for a in arrays for x in (a.dtype.num, len(a))]], dtype="<i8")
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
 
 
 _TYPES = {np.dtype(t).num: np.dtype(t) for t in ("u1", "i1", "u2", "i4", "u4", "i8", "u8")}
@@ -73,8 +73,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def runs_in(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """lo, hi and anchor of the runs in some adjoining documents."""
+def runs_in(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """lo, hi, anchor and content hash of the runs in some adjoining documents."""
     sums = prefix(raw)
     m = len(raw) - GRAM + 1
     hashes = mix((sums[GRAM:] - sums[:-GRAM]) * powers(len(sums), "down")[:m])
@@ -97,7 +97,7 @@ def runs_in(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     stop[:-1] &= ~inside[1:] | (at[1:] != at[:-1])
     lo, hi = np.flatnonzero(start), np.flatnonzero(stop) + 1
     # Least hashes are small numbers; mixed again, anchors spread evenly over the buckets.
-    return lo, hi, mix(hashes[at[lo]])
+    return lo, hi, mix(hashes[at[lo]]), between(sums, lo, hi - 1 + LENGTH)
 
 
 class Shard:
@@ -116,11 +116,11 @@ class Shard:
         self.ids, self.sizes = ids[order], sizes[order]
         self.raw = np.frombuffer(b"".join(texts[starts[i] : starts[i] + sizes[i]] for i in order.tolist()), dtype=np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.lo, self.hi, self.anchor = self.runs()
+        self.lo, self.hi, self.anchor, self.content = self.runs()
         self.doc = np.searchsorted(self.starts + self.sizes, self.lo, side="right")
         self.id = self.ids[self.doc] if len(self.doc) else np.zeros(0, np.int64)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self) -> tuple[np.ndarray, ...]:
         found, first = [], 0
         while first < len(self.sizes):
             # Some documents at a time; one, if it is long.
@@ -128,27 +128,31 @@ class Shard:
             a = int(self.starts[first])
             b = int(self.starts[last - 1] + self.sizes[last - 1])
             if b - a >= LENGTH:
-                lo, hi, anchor = runs_in(self.raw[a:b], self.starts[first:last] - a, self.sizes[first:last])
-                found.append((lo + a, hi + a, anchor))
+                lo, hi, anchor, content = runs_in(self.raw[a:b], self.starts[first:last] - a, self.sizes[first:last])
+                found.append((lo + a, hi + a, anchor, content))
             first = last
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        lo, hi, anchor = (np.concatenate(x) for x in zip(*found))
-        return lo, hi, anchor
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return tuple(np.concatenate(x) for x in zip(*found))
 
-    def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Anchors in order, and whether each is in several documents here."""
+    def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors in order, whether each is in several documents here, the
+        number of its different runs here at most, and a mark of its run's
+        content, 0 if there are several."""
         order = np.argsort(self.anchor, kind="stable")
-        anchor, ids = self.anchor[order], self.id[order]
+        anchor, ids, content = self.anchor[order], self.id[order], self.content[order]
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
         if not len(first):
-            return anchor, np.zeros(0, dtype=bool)
-        return anchor[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+            return anchor, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.uint16)
+        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        one = np.minimum.reduceat(content, first) == np.maximum.reduceat(content, first)
+        runs = np.where(one, 1, np.minimum(np.diff(np.append(first, len(anchor))), 0xFFFF)).astype(np.uint16)
+        return anchor[first], several, runs, np.where(one, (content[first] >> np.uint64(48)) | np.uint64(1), 0).astype(np.uint16)
 
     def pieces(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What is sent for runs whose anchor's flag (by distinct anchor) is 1,
         and string by string where it is 2: key, lo, size, doc_id, by piece."""
-        names, _ = self.distinct_anchors()
+        names = np.unique(self.anchor)
         flag = flags[np.searchsorted(names, self.anchor)] if len(names) else np.zeros(0, np.uint8)
         whole, apart = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
         n = self.hi[apart] - self.lo[apart]
@@ -156,7 +160,7 @@ class Shard:
         owner = np.repeat(apart, n)
         lo = np.concatenate([self.lo[whole], single])
         size = np.concatenate([self.hi[whole] - self.lo[whole] + LENGTH - 1, np.full(len(single), LENGTH)])
-        content = content_of(self.raw, lo, size)
+        content = np.concatenate([self.content[whole], content_of(self.raw, single, np.full(len(single), LENGTH))])
         key = np.concatenate([self.anchor[whole], mix(content[len(whole) :] + np.uint64(1))])
         ids = np.concatenate([self.id[whole], self.id[owner]])
         order = np.lexsort((ids, content, key))
@@ -243,19 +247,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def send_anchors(group: pa.Table) -> pa.Table:
         own = group.column("shard")[0].as_py()
-        names, several = Shard(group.column("blob").to_pylist()).distinct_anchors()
-        out = [(b, pack(names[x:y], several[x:y].view(np.uint8))) for b, x, y in slices_of(bucket_of(names, buckets))]
+        names, several, runs, mark = Shard(group.column("blob").to_pylist()).distinct_anchors()
+        out = [(b, pack(names[x:y], several[x:y].view(np.uint8), runs[x:y], mark[x:y])) for b, x, y in slices_of(bucket_of(names, buckets))]
         return table([own] * len(out), [b for b, _ in out], [x for _, x in out])
 
     def merge_anchors(group: pa.Table) -> pa.Table:
         lists = [unpack(x) for x in group.column("blob").to_pylist()]
-        names = np.unique(np.concatenate([x for x, _ in lists]))
-        shards, several = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=bool)
-        places = [np.searchsorted(names, x) for x, _ in lists]
-        for at, (_, flag) in zip(places, lists):
+        names = np.unique(np.concatenate([x[0] for x in lists]))
+        shards, runs, several = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=bool)
+        low, high = np.full(len(names), 0xFFFF, dtype=np.uint16), np.zeros(len(names), dtype=np.uint16)
+        places = [np.searchsorted(names, x[0]) for x in lists]
+        for at, (_, flag, n, mark) in zip(places, lists):
             shards[at] += 1
+            runs[at] += n
             several[at] |= flag.view(bool)
-        answer = np.where(shards > HOT, 2, (shards > 1) | several).astype(np.uint8)
+            low[at], high[at] = np.minimum(low[at], mark), np.maximum(high[at], mark)
+        # Where all marks agree, the many shards' runs are one and the same.
+        hot = (runs > HOT) & ((low != high) | (low == 0))
+        answer = np.where(hot, 2, (shards > 1) | several).astype(np.uint8)
         return table(group.column("shard").to_pylist(), group.column("bucket").to_pylist(), [pack(answer[at]) for at in places])
 
     def flags_of(blobs: pa.Table, part: int = 0) -> np.ndarray:
@@ -271,7 +280,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         key, content, lo, size, ids = shard.pieces(flags)
         first = distinct(key, content)  # ids are in order within, so the first is the least
         key, lo, size, ids = key[first], lo[first], size[first], ids[first]
-        names, _ = shard.distinct_anchors()
+        names = np.unique(shard.anchor)
         flag_of = {b: (x, y) for b, x, y in slices_of(bucket_of(names, buckets))}
         run_of = {b: (x, y) for b, x, y in slices_of(bucket_of(key, buckets))}
         out = []
@@ -290,8 +299,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         order = np.lexsort((ids, name))
         first = order[distinct(name[order], name[order])]
         strings = size[first] - LENGTH + 1
-        answer = least_ids(gathered(raw, starts[first], size[first]), size[first], ids[first]) if len(first) else ids
         begins = np.cumsum(strings) - strings
+        # A run that is alone with its anchor shares no string with any other.
+        _, kind, n_kind = np.unique(key[first], return_inverse=True, return_counts=True)
+        mixed = n_kind[kind] > 1
+        answer = np.repeat(ids[first], strings)
+        if mixed.any():
+            some = first[mixed]
+            answer[np.repeat(mixed, strings)] = least_ids(gathered(raw, starts[some], size[some]), size[some], ids[some])
         where = np.searchsorted(name[first], name)  # each shard's runs among the distinct ones
         out, at = [], 0
         for x in lists:

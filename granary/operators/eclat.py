@@ -67,6 +67,13 @@ def classes(occurrences: DataFrame) -> DataFrame:
     return occurrences.where(F.size("tail") > 0).groupBy("itemset").agg(F.count("*").alias("n"))
 
 
+def class_stats(occurrences: DataFrame) -> DataFrame:
+    """(itemset, n_tails, n_transactions, longest): what mining the class of
+    each prefix would start from."""
+    rows = occurrences.where(F.size("tail") > 0)
+    return rows.groupBy("itemset").agg(F.count("*").alias("n_tails"), F.sum("w").alias("n_transactions"), F.max(F.size("tail")).alias("longest"))
+
+
 def eclat(occurrences: DataFrame, min_count: int, diffsets: bool = True, squeeze: bool = False, parts: int | None = None, scratch: Scratch | None = None, class_rows: int = CLASS_ROWS) -> DataFrame:
     """(itemset, freq) of all frequent itemsets longer than those in
     ``occurrences`` (itemset, tail, w)."""

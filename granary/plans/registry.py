@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions import bitsets, patterns, subsets
-from granary.operators import apriori, bigfim, encode, fin, ppc, ranks, results, support, vertical
+from granary.operators import apriori, bigfim, eclat, encode, fin, ppc, ranks, results, support, vertical
 from granary.plans import miners
 from granary.plans.baskets import SQL, baskets, supports
 from granary.sources.transactions import parse_items
@@ -266,6 +266,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertical.prefix_classes(levels.levels[-1]).select(*[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("prefix", "members", "freqs")])
 
 
+@query(
+    "eclat_class_stats",
+    f"with {_ranks('order_attr')}, o as (select r[i]::varchar as itemset, r[i + 1:] as tail from (select r, unnest(range(1, len(r) + 1)) as i from enc))"
+    " select itemset, count(distinct tail) as n_tails, count(*) as n_transactions, max(len(tail))::int as longest from o where len(tail) > 0 group by itemset",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = apriori.first_occurrences(run_of(spark, sf_dir, "order_attr").encoding.patterns())
+    return eclat.class_stats(rows).select(F.array_join(F.col("itemset").cast("array<string>"), ",").alias("itemset"), "n_tails", "n_transactions", "longest")
+
+
 # Prefix trees.
 
 _COND = f"{_ranks('order_attr')}, g as (select unnest([0, 1, 2]) as gid), cond as (select gid, tid, r[1:list_max(list_transform(range(1, len(r) + 1), lambda i: case when r[i] % 3 = gid then i else 0 end))] as r from enc, g)"

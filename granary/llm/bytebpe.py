@@ -57,6 +57,9 @@ _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
+SPACED = re.compile(f" [{_LETTER}]+")
+#: Words in a row that the library gets as one text.
+IN_A_ROW = 500
 #: Pieces in each of the cache's two generations, and the longest kept.
 CACHED, LONGEST = 150_000, 64
 
@@ -80,6 +83,23 @@ class Codec:
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Packed ids of pieces.  Words that begin with a space stay apart when
+        they stand in a row, so many go through the library as one text; its
+        tokens' sizes show where each ends."""
+        spaced = [p for p in pieces if SPACED.fullmatch(p)]
+        rest = [p for p in pieces if not SPACED.fullmatch(p)]
+        out = dict(zip(rest, self.library(rest)))
+        rows = [spaced[a : a + IN_A_ROW] for a in range(0, len(spaced), IN_A_ROW)]
+        for row, ids in zip(rows, self.library(["".join(r) for r in rows])):
+            ends = np.cumsum(self.sizes[np.frombuffer(ids, dtype="<u4")])
+            cuts = 4 * (np.searchsorted(ends, np.cumsum([len(p.encode()) for p in row])) + 1)
+            at = 0
+            for p, cut in zip(row, cuts.tolist()):
+                out[p] = ids[at:cut]
+                at = cut
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text.  Pieces don't touch each other, so the
         library sees each piece once and a cache has it from then on."""
@@ -87,7 +107,7 @@ class Codec:
         missing = {p for pieces in split if pieces is not None for p in pieces} - self.young.keys()
         found = {p: self.old[p] for p in missing & self.old.keys()}
         new = list(missing - found.keys())
-        found.update(zip(new, self.library(new)))
+        found.update(self.pieces(new))
         self.young.update(found)
         get = self.young.__getitem__
         out = [self.library([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split)]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Relative input names are looked up in the folder that this variable names.
-INPUT_PATH = "FIM_CMP_INPUT_PATH"
+INPUT_PATH = "FIM_INPUT_PATH"
 
 
 def resolve_input(name: str | None) -> str:

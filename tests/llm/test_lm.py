@@ -49,9 +49,9 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("frequent", [5, 65_536])
+@pytest.mark.parametrize("frequent", [85, 65_536])
 def test_against_brute_force(spark, docs_table, monkeypatch, frequent):
-    monkeypatch.setattr(lm, "FREQUENT", max(frequent, lm.N_WORDS) if frequent > 5 else 140)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
     rng = np.random.default_rng(3)
     words = [f"W{i}" for i in range(60)] + [f"new{i}é" for i in range(20)]
     rows = [(i, " ".join(rng.choice(words[:60] if zlib.crc32(str(i).encode()) % 5 != 1 else words, rng.integers(0, 30)))) for i in range(120)] + [e for e in EDGES if e[0] not in (5,)]

@@ -20,7 +20,7 @@ def test_pipeline_against_stages_by_hand(spark, docs_table, tmp_path):
     docs_table(rows).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"]: r for r in P.run(spark, str(tmp_path)).collect()}
-    assert set(got) == {*range(90)} | set()
+    assert set(got) == set(range(90))
     assert all(r["round_trip"] and r["n_tokens"] * 4 == len(r["ids"]) for r in got.values())
     assert {"doc_id", "text", "lang", "source", "n_chars", "n_tokens", "ids", "round_trip"} == set(got[0].asDict())
 

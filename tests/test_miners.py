@@ -1,4 +1,3 @@
-import itertools
 import math
 import random
 
@@ -119,4 +118,4 @@ def test_bigfim_result(spark):
     top = [r["freq"] for r in result.deep_top(3).collect()]
     assert top == sorted((n for i, n in want.items() if len(i) > 2), reverse=True)[:3]
     assert all((r["phase"] == "eclat") == (len(r["itemset"]) > 2) for r in result.all().collect())
-    assert list(itertools.islice(result.note, 1))
+    assert result.note

@@ -33,6 +33,12 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Different values in order, by sorting."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def powers(n: int, which: str) -> np.ndarray:
     if len(_powers[which]) < n:
         step = np.full(1 << (n - 1).bit_length(), _BASE if which == "up" else _BACK, dtype=np.uint64)

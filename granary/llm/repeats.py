@@ -42,6 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm import hashing
 from granary.llm.hashing import between, mix, powers, prefix
 from granary.llm.shared import parts, text_of
 from granary.llm.suffix import common_prefixes, suffix_array
@@ -139,7 +140,7 @@ class Shard:
         """Anchors in order, whether each is in several documents here, the
         number of its different runs here at most, and a mark of its run's
         content, 0 if there are several."""
-        order = np.argsort(self.anchor, kind="stable")
+        order = np.argsort(self.anchor)
         anchor, ids, content = self.anchor[order], self.id[order], self.content[order]
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
         if not len(first):
@@ -152,7 +153,7 @@ class Shard:
     def pieces(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What is sent for runs whose anchor's flag (by distinct anchor) is 1,
         and string by string where it is 2: key, lo, size, doc_id, by piece."""
-        names = np.unique(self.anchor)
+        names = hashing.distinct(self.anchor)
         flag = flags[np.searchsorted(names, self.anchor)] if len(names) else np.zeros(0, np.uint8)
         whole, apart = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
         n = self.hi[apart] - self.lo[apart]
@@ -253,7 +254,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def merge_anchors(group: pa.Table) -> pa.Table:
         lists = [unpack(x) for x in group.column("blob").to_pylist()]
-        names = np.unique(np.concatenate([x[0] for x in lists]))
+        names = hashing.distinct(np.concatenate([x[0] for x in lists]))
         shards, runs, several = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=bool)
         low, high = np.full(len(names), 0xFFFF, dtype=np.uint16), np.zeros(len(names), dtype=np.uint16)
         places = [np.searchsorted(names, x[0]) for x in lists]
@@ -280,7 +281,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         key, content, lo, size, ids = shard.pieces(flags)
         first = distinct(key, content)  # ids are in order within, so the first is the least
         key, lo, size, ids = key[first], lo[first], size[first], ids[first]
-        names = np.unique(shard.anchor)
+        names = hashing.distinct(shard.anchor)
         flag_of = {b: (x, y) for b, x, y in slices_of(bucket_of(names, buckets))}
         run_of = {b: (x, y) for b, x, y in slices_of(bucket_of(key, buckets))}
         out = []

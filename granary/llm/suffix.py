@@ -24,7 +24,7 @@ def suffix_array(raw: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=np.int64)
     words = packed(raw)
-    order = np.argsort(words, kind="stable").astype(np.int64)
+    order = np.argsort(words).astype(np.int64)
     rank = np.empty(n + 1, dtype=np.int64)
     rank[n] = -1
     # Zeros after the end must not equal zero bytes: shorter suffixes stand apart, first.
@@ -42,11 +42,12 @@ def suffix_array(raw: np.ndarray) -> np.ndarray:
     while len(todo):
         own = order[todo]
         group, after = rank[own], rank[np.minimum(own + known, n)]
-        redo = np.lexsort((after, group))
-        own, group, after = own[redo], group[redo], after[redo]
+        both = group * (n + 1) + after + 1  # under 2^63 for texts under 3 GB
+        redo = np.argsort(both)
+        own, both = own[redo], both[redo]
         order[todo] = own
         same = np.zeros(len(todo), dtype=bool)
-        same[1:] = (group[1:] == group[:-1]) & (after[1:] == after[:-1])
+        same[1:] = both[1:] == both[:-1]
         last = _last(same)
         rank[own] = todo[last]
         todo = todo[_members(same)]

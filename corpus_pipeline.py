@@ -39,10 +39,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds n_tokens, the packed ids and whether they decode to the text."""
-    encoded = bytebpe.encode(docs).drop("char_starts", "n_split")
-    back = bytebpe.decode(encoded)
+    encoded = bytebpe.encode(docs, back="decoded")
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return back.withColumn("round_trip", whole).drop("decoded")
+    return encoded.withColumn("round_trip", whole).drop("decoded", "char_starts", "n_split")
 
 
 STAGES = [

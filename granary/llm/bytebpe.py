@@ -61,7 +61,7 @@ SPACED = re.compile(f" [{_LETTER}]+")
 #: Words in a row that the library gets as one text.
 IN_A_ROW = 500
 #: Pieces in each of the cache's two generations, and the longest kept.
-CACHED, LONGEST = 150_000, 64
+CACHED, LONGEST = 100_000, 64
 
 
 class Codec:
@@ -162,11 +162,13 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 NEW = "n_tokens long, ids binary, char_starts binary, n_split long"
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", back: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, ids, char_starts (packed alike) and n_split, the
-    number of tokens that begin inside a character."""
+    number of tokens that begin inside a character.  With ``back``, the ids are
+    decoded in the same pass, into a column of that name."""
     path = path or default_vocabulary()
-    names = [x.split()[0] for x in NEW.split(", ")]
+    new = NEW + (f", {back} binary" if back else "")
+    names = [x.split()[0] for x in new.split(", ")]
     kept = docs.drop(*[n for n in names if n in docs.columns and n != text])
     at = kept.columns.index(text)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields)
@@ -185,11 +187,12 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
                         pa.array(some, pa.binary()),
                         pa.array([s.tobytes() for s in starts], pa.binary()),
                         pa.array(inside, pa.int64()),
+                        *([pa.array([own.decode(np.frombuffer(i, dtype="<u4")) for i in some], pa.binary())] if back else []),
                     ],
                     names=[*batch.schema.names, *names],
                 )
 
-    return kept.mapInArrow(run, f"{fields}, {NEW}")
+    return kept.mapInArrow(run, f"{fields}, {new}")
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -214,8 +217,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", to: st
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The round trip's digests for each document."""
-    there = encode(docs.select("doc_id", "text"), path).select("doc_id", "n_tokens", "n_split", "ids")
-    back = decode(there, path)
+    back = encode(docs.select("doc_id", "text"), path, back="decoded")
     return back.select(
         "doc_id",
         "n_tokens",

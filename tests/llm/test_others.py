@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import bytebpe, decontaminate, nearest, sharding, tokencount
 from tests.llm.conftest import EDGES
@@ -90,6 +91,8 @@ def test_byte_bpe(docs_table, clashing, tiktoken_own):
         want[d, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert got == want
     assert bytebpe.digests(docs_table([])).count() == 0
+    again = bytebpe.decode(bytebpe.encode(docs_table(rows)), to="again").select((F.col("again") == F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
+    assert all(r["same"] for r in again.collect())
     both = bytebpe.decode(bytebpe.encode(clashing))
     assert set(both.columns) == set(clashing.columns) and both.first()["matches"] == "own"
 

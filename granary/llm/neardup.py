@@ -13,8 +13,10 @@ connected components.
    exactly: each in turn is compared with all members outside its own component
    whose signatures agree well enough, and linked to its bucket's component;
    a bucket emits one link per member, never all pairs.  A bucket beyond PART
-   members is dealt over tasks; the parts' components then meet through their
-   first members, and other bands, dealt otherwise, join what that misses.
+   members is dealt over tasks; then the members that are still outside its
+   largest component meet all other members, block against block, each pair of
+   blocks in its own task.  So every pair that shares a bucket is compared or
+   is in one component already, whatever the bucket's size.
 4. Components of the links are found by star rounds over tables.
 
 Results by row: a text that is null or has no words is in a class of its own;
@@ -38,7 +40,7 @@ from granary.llm.hashing import mix, shingles, words
 from granary.llm.shared import Scratch, fresh, parts
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
-#: Members of a bucket that one task compares; agreement of signatures below
+#: Members of a bucket, or of a block of it, that one task holds; agreement of signatures below
 #: which a pair isn't compared: over five standard deviations under SIMILAR.
 PART, AGREE = 2048, 0.6
 #: Texts that are hashed at a time, in characters.
@@ -114,48 +116,64 @@ def payloads(members: DataFrame) -> DataFrame:
     return members.select("node", "text", "keys").mapInArrow(run, f"node string, keys {members.schema['keys'].dataType.simpleString()}, sig binary, elements binary")
 
 
-def link(sig: np.ndarray, sets: list[np.ndarray]) -> list[int]:
-    """For each member the first member of its component."""
-    root = np.arange(len(sets))
+def link(sig: np.ndarray, sets: list[np.ndarray], root: np.ndarray | None = None, block: np.ndarray | None = None) -> list[int]:
+    """For each member the first member of its component.  Members of one
+    ``root`` are linked already; with two ``block``s only pairs across meet."""
+    root = np.arange(len(sets)) if root is None else root.copy()
     sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    hit = np.zeros(len(kinds), dtype=bool)
     for i in range(len(sets)):
-        others = np.flatnonzero(root != root[i])
-        if not len(others):
-            break
-        others = others[(others > i) | (root[others] != others)]
+        others = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if block is not None:
+            others = others[block[others] != block[i]]
         small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
         others = others[(small >= SIMILAR * large)]
         others = others[(sig[others] == sig[i]).mean(axis=1) >= AGREE]
+        if not len(others):
+            continue
+        own = flat[starts[i] : starts[i + 1]]
+        hit[own] = True
         for j in others.tolist():
             if root[j] == root[i]:
                 continue
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            shared = np.count_nonzero(hit[flat[starts[j] : starts[j + 1]]])
             if shared >= SIMILAR * (sizes[i] + sizes[j] - shared):
                 a, b = sorted((root[i], root[j]))
                 root[root == b] = a
+        hit[own] = False
     return root.tolist()
 
 
+def groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple]]:
+    """Rows that agree in the first n columns and lie together."""
+    held: list[tuple] = []
+    for batch in parts(batches):
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and row[:n] != held[0][:n]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def unpacked(sigs: list[bytes], elements: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    return np.stack([np.frombuffer(s, "<u2") for s in sigs]), [np.frombuffer(e, "<u4") for e in elements]
+
+
 def checked(members: DataFrame) -> DataFrame:
-    """(key, a, b, sig, elements) from (key, part, node, sig, elements), whose
-    parts lie together: a link per member to the first of its component, and
-    for each component its first member with its payload, linked to itself."""
+    """(key, a, b, first, sig, elements) from (key, part, node, sig, elements),
+    whose parts lie together: a link per member to the first of its component,
+    and for each component its first member with its payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in parts(batches):
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and row[:2] != held[0][:2] or len(held) >= 2 * PART:
-                    done = finish(held)
-                    yield done
-                    # a part that is larger than expected goes on with its components' first members
-                    held = [] if row[:2] != held[0][:2] else [h for h in held if h[2] in set(done.column(3).drop_null().to_pylist())][:PART]
-                held.append(row)
-        if held:
+        for held in groups(batches, 2):
             yield finish(held)
 
     def finish(held: list[tuple]) -> pa.RecordBatch:
-        root = link(np.stack([np.frombuffer(h[3], "<u2") for h in held]), [np.frombuffer(h[4], "<u4") for h in held])
+        root = link(*unpacked([h[3] for h in held], [h[4] for h in held]))
         first = [r == i for i, r in enumerate(root)]
         return pa.RecordBatch.from_arrays(
             [
@@ -174,10 +192,26 @@ def checked(members: DataFrame) -> DataFrame:
     )
 
 
-def together(members: DataFrame) -> DataFrame:
+def across(members: DataFrame) -> DataFrame:
+    """(a, b) links of pairs of blocks, from (key, low, high, node, block,
+    root, sig, elements) whose pairs lie together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in groups(batches, 3):
+            _, first, known = np.unique([h[5] for h in held], return_index=True, return_inverse=True)
+            known = first[known]
+            sides = None if held[0][1] == held[0][2] else np.array([h[4] for h in held])
+            root = link(*unpacked([h[6] for h in held], [h[7] for h in held]), known, sides)
+            found = [(held[i][3], held[r][3]) for i, r in enumerate(root) if r != known[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["a", "b"])
+
+    return members.select("key", "low", "high", "node", "block", "root", "sig", "elements").mapInArrow(run, "a string, b string")
+
+
+def together(members: DataFrame, *by: str) -> DataFrame:
     spark = members.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return members.repartition(n, "key", "part").sortWithinPartitions("key", "part", "node")
+    return members.repartition(n, *by).sortWithinPartitions(*by, "node")
 
 
 def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -189,22 +223,42 @@ def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
         .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
         .where("n > 1")
     )
-    distinct = buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    distinct = scratch.save(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     kept = banded.join(distinct.hint("rebalance"), "key").groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("keys"))  # at most BANDS
     texts = rows.groupBy("node").agg(F.first("text").alias("text"))
     full = payloads(texts.join(kept, "node"))
     members = full.select("node", "sig", "elements", F.inline("keys"))
-    parts = F.ceil(F.col("n") / PART)
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("node", "key"), parts))
-    first = scratch.save(checked(together(dealt)), "first")
-    sizes = distinct.where(F.col("n") > PART).select("key")
-    again = (
-        first.where(F.col("first").isNotNull())
-        .join(sizes, "key", "left_semi")
-        .select("key", F.lit(0).cast("long").alias("part"), F.col("first").alias("node"), "sig", "elements")
-    )
-    second = checked(together(again))
-    return first.select("a", "b").unionByName(second.select("a", "b")).where("a != b").distinct()
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / PART)))
+    first = scratch.save(checked(together(dealt, "key", "part")), "first")
+    found = first.select("a", "b")
+    big = distinct.where(F.col("n") > PART)
+    if big.limit(1).count():
+        again = first.where(F.col("first").isNotNull()).join(big.select("key"), "key", "left_semi")
+        # Where they fill one part, first members meet first: cheap, and leaves little to the pairs of blocks.
+        few = again.groupBy("key").count().where(F.col("count") <= PART).select("key")
+        heads = again.join(few, "key").select("key", F.lit(0).cast("long").alias("part"), F.col("first").alias("node"), "sig", "elements")
+        found = scratch.save(found.unionByName(checked(together(heads, "key", "part")).select("a", "b")).where("a != b").distinct(), "parts")
+        found = found.unionByName(blocks(rows, banded.join(big, "key"), found, scratch))
+    return found.where("a != b").distinct()
+
+
+def blocks(rows: DataFrame, members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links between components of ``found`` within the large buckets,
+    whose ``members`` are (node, key).  All members outside the bucket's
+    largest component meet all others: blocks of PART, a task for each pair."""
+    roots = components(found, Scratch(scratch.spark, "neardup-parts"))
+    own = scratch.save(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "large")
+    sizes = own.groupBy("key", "root").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    per = per.select("key", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / PART).alias("r"), F.ceil(F.col("top.n") / PART).alias("q")).where("r > 0")
+    draw = F.xxhash64("node", "key")
+    rest = F.col("root") != F.col("main")
+    placed = own.join(per, "key").withColumn("block", F.when(rest, F.pmod(draw, "r")).otherwise(F.col("r") + F.pmod(draw, "q")))
+    met = F.sequence(F.lit(0).cast("long"), F.when(rest, F.col("r") + F.col("q")).otherwise(F.col("r")) - 1)
+    pairs = placed.withColumn("other", F.explode(met)).select("key", "node", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    texts = rows.join(own.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    full = scratch.save(payloads(texts.withColumn("keys", F.lit(0))).drop("keys"), "payloads")
+    return scratch.save(across(together(pairs.join(full, "node"), "key", "low", "high")), "across")
 
 
 def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -101,3 +101,19 @@ def test_components(spark):
     assert {got[f"n{i}"] for i in range(41)} == {"n0"}
     assert {got[f"s{i}"] for i in range(50)} == {"hub"} and got["hub"] == "hub"
     assert components(spark.createDataFrame([], "a string, b string"), Scratch(spark, "t")).count() == 0
+
+
+def test_links_between_parts(docs_table, prose, monkeypatch):
+    """A template under the similarity, whose only true pairs lie in different parts of large buckets."""
+    monkeypatch.setattr(neardup, "PART", 4)
+    base = prose(5, 104)
+    rows = []
+    for i in range(60):
+        pair = f"p{i // 2} q{i // 2}" if i < 24 else f"r{i} s{i}"
+        rows.append((i, " ".join([base, pair, *[f"t{i}x{k}" for k in range(12)]])))
+    roots = brute(rows)
+    assert len(set(roots)) == 48
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_table(rows)).collect()}
+    assert got == {i: min(j for j in range(60) if roots[j] == roots[i]) for i in range(60)}
+    kept = neardup.drop_duplicates(docs_table(rows)).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == set(got.values())

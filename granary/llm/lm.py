@@ -5,16 +5,20 @@ with an end token.  Words are known by a 64-bit hash, as usual in such models.
 
 1. Exact counts of all words of the training texts: summed in each task, then
    by a shuffle of (word, count).
-2. The N_WORDS - 2 most frequent words, the end, and a class of all others form
-   the model's closed vocabulary, over which all n-grams up to ORDER are
-   counted.  There are at most N_WORDS^ORDER of them whatever the corpus, which
-   bounds the trie that goes to the workers (2 million grams, a few bytes
-   each).  Probabilities are smoothed by Witten-Bell interpolation, quantised
-   and stored in the trie, which workers map into memory.  A word of the open
-   class has the class's probability times its share in the class by count.
-3. Every text is scored in one pass.  Frequent words are looked up in a
-   broadcast table of FREQUENT counts; only the others, once per text, are
-   shuffled to meet their counts.
+2. Every text's n-grams up to ORDER = 3 go to shards by their middle word, so
+   that a shard holds all that follows its contexts; a word too frequent for a
+   shard is dealt further by the word before it, and its bigram counts, taken
+   over the whole corpus first, go to each of its shards.  The number of shards
+   grows with the corpus; no word and no n-gram is left out.
+3. Each shard counts its n-grams of training texts, smooths them by Witten-Bell
+   interpolation, builds its own Elias-Fano trie, which it maps into memory,
+   and scores its n-grams of all texts.  Sums by text come back by a shuffle.
+4. The base score: frequent words are looked up in a broadcast table of
+   FREQUENT counts; only the others, once per text, are shuffled to meet their
+   counts, and once per shard and piece for the trie's first level.
+
+Words not in training share one class; unigram smoothing gives half a count to
+each word and the class, and to N_WORDS of them at least.
 
 Defined results: a null text is empty and scores its end token; a null doc_id
 is not held out; each row has its own result, so repeated rows repeat (and
@@ -24,27 +28,22 @@ of the smoothing alone; other columns are not read; empty in, empty out.
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
-import uuid
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import trie
-from granary.llm.hashing import words
+from granary.llm.hashing import mix, words
 from granary.llm.shared import Scratch, parts, text_of
 
 ORDER, N_WORDS, FREQUENT = 3, 128, 65_536
-#: Ids of the class of other words and of the end of a text.
-OTHER, END = 0, 1
+#: Tokens of a shard; characters whose n-grams a task deals out at a time.
+SHARD, PIECE = 1 << 20, 1 << 21
 #: Characters hashed at a time; distinct keys that a task sums before it sends.
 CHUNK, HELD = 1 << 18, 1 << 19
 #: The hash that stands for the end token; no word has it but by accident.
@@ -120,120 +119,78 @@ def word_keys(texts: list[str]) -> np.ndarray:
     return np.concatenate([words(texts)[0].view(np.int64), np.full(len(texts), END_HASH)])
 
 
-class Vocabulary:
-    """The most frequent words: hashes in order, and their ids."""
+def windows(found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ORDER words up to each token as rows, text by text, with the end
+    token after each text and ends before it; and the token's text."""
+    n, pad = len(bounds) - 1, ORDER - 1
+    size = np.diff(bounds)
+    line = np.full(len(found) + n * (pad + 1), END_HASH, dtype=np.int64)
+    first = bounds[:-1] + np.arange(n) * (pad + 1) + pad
+    line[np.repeat(first - bounds[:-1], size) + np.arange(len(found))] = found
+    text = np.repeat(np.arange(n), size + 1)
+    ends = np.arange(len(found) + n) + pad * (text + 1)
+    return np.stack([line[ends - j] for j in range(pad, -1, -1)], axis=1), text
 
-    def __init__(self, hashes: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], order + 2
 
-    def of(self, found: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(found), OTHER)
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == found, self.ids[at], OTHER)
+def places(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in an ascending table, and whether the values are there."""
+    if not len(table):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
 
-    def grams(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Keys of the last ORDER ids up to each token, text by text, with the
-        end token after each text and ends before it."""
-        n = len(bounds) - 1
-        pad = ORDER - 1
-        size = np.diff(bounds)
-        line = np.full(len(ids) + n * (pad + 1), END, dtype=np.int64)
-        first = bounds[:-1] + np.arange(n) * (pad + 1) + pad
-        own = np.repeat(first - bounds[:-1], size) + np.arange(len(ids))
-        line[own] = ids
-        key = np.zeros(len(line) - pad, dtype=np.int64)
-        for j in range(ORDER):
-            key = key * N_WORDS + line[j : j + len(key)]
-        # Windows that end on a text's own token or its end, in order.
-        ends = np.repeat(first - np.concatenate(([0], np.cumsum(size + 1)[:-1])), size + 1) + np.arange(len(ids) + n)
-        return key[ends - pad]
-
-
-def trie_of(keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """The trie's arrays from counts of ORDER-grams, as keys."""
-    order = np.argsort(keys)
-    key, n = keys[order], counts[order].astype(np.float64)
-    by = {ORDER: (key, n)}
-    for k in range(ORDER - 1, 0, -1):  # grams as predictions: what stands before them is summed out
-        own, at = np.unique(by[k + 1][0] % N_WORDS**k, return_inverse=True)
-        by[k] = own, np.bincount(at, weights=by[k + 1][1], minlength=len(own)) if len(at) else np.zeros(0)
-    all_ids = np.arange(N_WORDS)
-    one = np.zeros(N_WORDS)
-    one[by[1][0]] = by[1][1]
-    lower_key, lower_p = all_ids, (one + 0.5) / (one.sum() + 0.5 * N_WORDS)
-    levels = [[all_ids, np.log10(lower_p), np.zeros(N_WORDS)]]
-    for k in range(2, ORDER + 1):
-        own, c = by[k]
-        context, at = np.unique(own // N_WORDS, return_inverse=True)
-        total = np.bincount(at, weights=c, minlength=len(context)) if len(at) else np.zeros(0)
-        kinds = np.bincount(at, minlength=len(context)).astype(np.float64) if len(at) else np.zeros(0)
-        p = np.zeros(0)
-        if len(own):
-            below = lower_p[np.searchsorted(lower_key, own % N_WORDS ** (k - 1))]
-            p = (c + kinds[at] * below) / (total + kinds)[at]
-        # Contexts must be stored above: those that are no prediction get the back-off estimate.
-        above_key, above_log, above_back = levels[-1]
-        missing = np.setdiff1d(context, above_key)
-        if len(missing):
-            guess = np.log10(lower_like(levels, missing))
-            above_key, above_log, above_back = (np.concatenate(x) for x in ((above_key, missing), (above_log, guess), (above_back, np.zeros(len(missing)))))
-            o = np.argsort(above_key)
-            above_key, above_log, above_back = above_key[o], above_log[o], above_back[o]
-        if len(context):
-            above_back[np.searchsorted(above_key, context)] = np.log10(kinds / (total + kinds))
-        levels[-1] = [above_key, above_log, above_back]
-        levels.append([own, np.log10(p), np.zeros(len(own))])
-        lower_key, lower_p = own, p
-    digits = lambda key, k: np.stack([key // N_WORDS**j % N_WORDS for j in range(k - 1, -1, -1)], axis=1)
-    return trie.Trie.build([(digits(key, k), a, b) for k, (key, a, b) in enumerate(levels, 1)], N_WORDS)
-
-
-def lower_like(levels: list, missing: np.ndarray) -> np.ndarray:
-    """A probability for grams that occur only as contexts at a text's start:
-    that of their last word alone."""
-    return 10 ** levels[0][1][missing % N_WORDS]
-
-
-@lru_cache(maxsize=2)
-def opened(name: str) -> trie.Trie:
-    return trie.open_file(SparkFiles.get(name))
+
+def packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.astype("<i4").tobytes(), 1)
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<i4")
+
+
+def summed_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(keys, return_inverse=True)
+    return own, np.bincount(at, weights=n, minlength=len(own))
 
 
 class Model:
-    """What the workers need besides the trie file: counts of frequent words."""
+    """What all workers need: counts of frequent words, and the shards."""
 
-    def __init__(self, name: str, frequent: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, total: int, distinct: int, shards: int):
         order = np.argsort(frequent)
-        self.name, self.total = name, total
+        self.total, self.shards = total, shards
         self.hashes, self.counts = frequent[order], counts[order]
         self.norm = total + 0.5 * (distinct + 1)
-        words_only = frequent[frequent != END_HASH][: N_WORDS - 2]
-        self.vocabulary = Vocabulary(words_only)
-        named = self.counts[np.isin(self.hashes, words_only)].sum() + 0.5 * len(words_only)
-        ends = self.counts[self.hashes == END_HASH].sum() + 0.5
-        #: Log of the unigram mass outside the vocabulary.
-        self.log_other = float(np.log10(max(self.norm - named - ends, 0.5) / self.norm))
-
-    def score(self, texts: list[str], model: trie.Trie) -> dict[str, np.ndarray]:
-        found, bounds = words(texts)
-        found = found.view(np.int64)
+        self.smooth = total + 0.5 * max(distinct + 1, N_WORDS)
+        self.ends = int(self.counts[self.hashes == END_HASH].sum())
+        #: Words that are dealt over several shards.
+        many = self.counts > SHARD // 2
+        self.hot, self.split = self.hashes[many], -(-self.counts[many] * 2 // SHARD)
+        self.bits = int(len(self.hot)).bit_length()
+
+    def shard(self, before: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        at, hot = places(self.hot, middle)
+        turn = np.zeros(len(middle), dtype=np.uint64)
+        turn[hot] = mix(before[hot].view(np.uint64)) % self.split[at[hot]].astype(np.uint64)
+        return (mix(mix(middle.view(np.uint64)) + turn) % np.uint64(self.shards)).astype(np.int64)
+
+    def shards_of(self, i: int) -> list[int]:
+        """All shards of a hot word."""
+        turn = np.arange(self.split[i], dtype=np.uint64)
+        return np.unique(mix(mix(self.hot[i : i + 1].view(np.uint64)) + turn) % np.uint64(self.shards)).astype(np.int64).tolist()
+
+    def pair_keys(self, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Keys of bigrams of hot words: the word's place, then hash bits."""
+        at = places(self.hot, middle)[0].astype(np.uint64)
+        return ((at << np.uint64(64 - self.bits)) | (mix(last.view(np.uint64)) >> np.uint64(self.bits))).view(np.int64)
+
+    def heads(self, found: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
         size = np.diff(bounds)
-        owner = np.repeat(np.arange(len(texts)), size)
-        n = len(texts)
-        at = np.minimum(np.searchsorted(self.hashes, found), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == found if len(self.hashes) else np.zeros(len(found), dtype=bool)
+        n = len(size)
+        owner = np.repeat(np.arange(n), size)
+        at, known = places(self.hashes, found)
         log = np.zeros(len(found))
         log[known] = np.log10((self.counts[at[known]] + 0.5) / self.norm)
-        ends = self.counts[self.hashes == END_HASH].sum()
-        ids = self.vocabulary.of(found)
-        key, back = np.unique(self.vocabulary.grams(ids, bounds), return_inverse=True)
-        grams = np.stack([key // N_WORDS**j % N_WORDS for j in range(ORDER - 1, -1, -1)], axis=1)
-        each = model.score(grams)[back]
-        every = np.repeat(np.arange(n), size + 1)
-        other = ids == OTHER
-        open_ = np.bincount(owner[other], weights=log[other] - self.log_other, minlength=n)
         # Words that the table lacks, once per text.
         late_owner, late = owner[~known], found[~known]
         order = np.lexsort((late, late_owner))
@@ -243,17 +200,107 @@ class Model:
         starts = np.flatnonzero(first)
         return {
             "n_tokens": size + 1,
-            "n_known": np.bincount(owner[known], minlength=n) + (ends > 0),
-            "base": np.bincount(owner, weights=log, minlength=n) + np.log10((ends + 0.5) / self.norm),
-            "score": np.bincount(every, weights=each, minlength=n) + open_,
+            "n_known": np.bincount(owner[known], minlength=n) + (self.ends > 0),
+            "base": np.bincount(owner, weights=log, minlength=n) + np.log10((self.ends + 0.5) / self.norm),
             "late_word": late[starts],
             "late_n": np.diff(np.append(starts, len(late))),
             "late_of": np.searchsorted(late_owner[starts], np.arange(n + 1)),
         }
 
-
-def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """The model of the rows that are not held out, and the words' counts."""
+    def pieces(self, found: np.ndarray, bounds: np.ndarray, trained: np.ndarray) -> Iterator[tuple]:
+        """(shard, late words, grams, their rare words, counts in training and in all, each token's text)."""
+        grams, text = windows(found, bounds)
+        shard = self.shard(grams[:, 0], grams[:, 1])
+        order = np.lexsort((grams[:, 2], grams[:, 0], grams[:, 1], shard))
+        grams, text, shard = grams[order], text[order], shard[order]
+        new = np.ones(len(grams), dtype=bool)
+        new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
+        place = np.cumsum(new) - 1
+        n = np.bincount(place, weights=trained[text], minlength=int(new.sum())).astype(np.int32)
+        grams = grams[new]
+        late = ~places(self.hashes, grams[:, 2])[1]
+        edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
+        for a, b in zip(edges, [*edges[1:], len(shard)]):
+            lo, hi = place[a], place[b - 1] + 1
+            own = grams[lo:hi]
+            yield int(shard[a]), np.unique(own[late[lo:hi], 2]), *self.packed(own), packed(n[lo:hi]), packed(np.bincount(place[a:b] - lo)), packed(text[a:b])
+
+    def packed(self, grams: np.ndarray) -> tuple[bytes, bytes]:
+        """Two bytes for a frequent word; the others whole, in order."""
+        flat = grams.T.ravel()
+        at, known = places(self.hashes, flat)
+        known &= at < 0xFFFF
+        return zlib.compress(np.where(known, at, 0xFFFF).astype("<u2").tobytes(), 1), flat[~known].tobytes()
+
+    def unpacked(self, codes: bytes, rest: bytes) -> np.ndarray:
+        code = np.frombuffer(zlib.decompress(codes), "<u2")
+        known = code < 0xFFFF
+        flat = np.empty(len(code), dtype=np.int64)
+        flat[known], flat[~known] = self.hashes[code[known]], np.frombuffer(rest, np.int64)
+        return flat.reshape(3, -1).T
+
+    def scores(self, grams: np.ndarray, n: np.ndarray, late: tuple, pairs: tuple) -> np.ndarray:
+        """Log probabilities of different grams by the shard's trie, from their
+        counts in training, counts of late words and of hot words' bigrams."""
+        word, ids = np.unique(grams, return_inverse=True)
+        ids, v = ids.reshape(grams.shape), len(word)
+        count = np.zeros(v)
+        for table, values in ((self.hashes, self.counts), late):
+            at, known = places(table, word)
+            count[known] = values[at[known]]
+        one = (count + 0.5) / self.smooth
+        own = ids[n > 0]
+        # Bigrams of the shard's middle words, all of them in training counted here or, for hot words, before.
+        asked = np.unique(ids[:, 1] * v + ids[:, 2])
+        own_key, own_n = summed_by(own[:, 1] * v + own[:, 2], n[n > 0])
+        two_n = np.zeros(len(asked))
+        two_n[np.searchsorted(asked, own_key)] = own_n
+        c2 = np.bincount(asked // v, weights=two_n, minlength=v)
+        k2 = np.bincount(asked // v, weights=two_n > 0, minlength=v)
+        hot = places(self.hot, word)[1]
+        if hot.any():
+            key, total = pairs
+            of = key.view(np.uint64) >> np.uint64(64 - self.bits)
+            place, of_hot = places(self.hot, word)
+            c2[of_hot] = np.bincount(of.astype(np.int64), weights=total, minlength=len(self.hot))[place[of_hot]]
+            k2[of_hot] = np.bincount(of.astype(np.int64), minlength=len(self.hot))[place[of_hot]]
+            mine = hot[asked // v]
+            at, known = places(key, self.pair_keys(word[asked[mine] // v], word[asked[mine] % v]))
+            two_n[mine] = np.where(known, total[at] if len(total) else 0, 0)
+        # Level 2: those bigrams that occur, and the contexts of trigrams.
+        context, c3 = summed_by(own[:, 0] * v + own[:, 1], n[n > 0])
+        k3 = np.bincount(np.searchsorted(context, own[:, 0] * v + own[:, 1]), minlength=len(context)).astype(np.float64)
+        level = np.union1d(asked[two_n > 0], context)
+        at, known = places(asked, level)
+        level_n = np.where(known, two_n[at], 0)
+
+        def after(middle: np.ndarray, last: np.ndarray, found: np.ndarray) -> np.ndarray:
+            some = c2[middle] + k2[middle]
+            return np.where(some > 0, (found + k2[middle] * one[last]) / np.maximum(some, 1), one[last])
+
+        two = after(level // v, level % v, level_n)
+        back2 = np.zeros(len(level))
+        back2[np.searchsorted(level, context)] = np.log10(k3 / (c3 + k3))
+        back1 = np.where(c2 > 0, np.log10(np.maximum(k2, 1) / np.maximum(c2 + k2, 1)), 0.0)
+        order = np.lexsort((own[:, 2], own[:, 1], own[:, 0]))
+        own, own_n = own[order], n[n > 0][order]
+        at = np.searchsorted(context, own[:, 0] * v + own[:, 1])
+        below = two[np.searchsorted(level, own[:, 1] * v + own[:, 2])]
+        three = (own_n + k3[at] * below) / (c3 + k3)[at]
+        levels = [
+            (np.arange(v)[:, None], np.log10(one), back1),
+            (np.stack([level // v, level % v], axis=1), np.log10(two), back2),
+            (own, np.log10(three), np.zeros(len(own))),
+        ]
+        with tempfile.NamedTemporaryFile(prefix="granary-trie-") as f:
+            trie.to_file(trie.Trie.build(levels, v), f.name)
+            mapped = trie.open_file(f.name)
+            return np.concatenate([mapped.score(ids[a : a + 65_536]) for a in range(0, len(ids), 65_536)])
+
+
+def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model of the rows that are not held out, the words' counts, and
+    the counts of hot words' bigrams by shard."""
     spark = docs.sparkSession
     rest = remainder(F.col("doc_id"))
     texts = docs.where(rest.isNull() | (rest != 1)).select(text_of().alias("text"))
@@ -261,75 +308,179 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()  # at most FREQUENT pairs of numbers
     frequent, n = np.array([r["key"] for r in top], dtype=np.int64), np.array([r["n"] for r in top], dtype=np.int64)
-    name = f"trie-{uuid.uuid4().hex}"
-    model = Model(name, frequent, n, total or 0, distinct)
-    vocabulary = model.vocabulary
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // SHARD), 1)
+    model = Model(frequent, n, total or 0, distinct, shards)
+    if not len(model.hot):
+        return model, counts, None
 
-    def gram_keys(some: list[str]) -> np.ndarray:
+    def pair_keys(some: list[str]) -> np.ndarray:
         found, bounds = words(some)
-        return vocabulary.grams(vocabulary.of(found.view(np.int64)), bounds)
+        grams = windows(found.view(np.int64), bounds)[0]
+        grams = grams[places(model.hot, grams[:, 1])[1]]
+        return model.pair_keys(grams[:, 1], grams[:, 2])
+
+    where = spark.createDataFrame([(i, model.shards_of(i)) for i in range(len(model.hot))], "i long, shards array<long>")
+    pairs = summed(texts, pair_keys).withColumn("i", F.shiftrightunsigned("key", 64 - model.bits))
+    return model, counts, pairs.join(F.broadcast(where), "i").select(F.explode("shards").alias("shard"), F.lit(1).alias("kind"), "key", "n")
+
 
-    # At most N_WORDS ^ ORDER pairs of numbers.
-    grams = summed(texts, gram_keys).toArrow()
-    folder = tempfile.mkdtemp(prefix="granary-lm-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = Path(folder) / name
-    trie.to_file(trie_of(grams["key"].to_numpy(), grams["n"].to_numpy()), str(path))
-    spark.sparkContext.addFile(str(path))  # the driver serves it to every executor, new ones too
-    return model, counts
+PIECES = "piece long, grams binary, rest binary, trained binary, repeats binary, of binary"
+
+
+def shard_sums(rows: DataFrame, shared) -> DataFrame:
+    """(piece, of, sums) from (shard, kind, key, n, piece, ...), shards together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, ns, held = None, ([], []), ([], []), []
+        for batch in batches:
+            shard, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1]))).tolist() if len(shard) else []
+            for a, b in zip(edges, [*edges[1:], len(shard)]):
+                if now is not None and shard[a] != now:
+                    yield from finish(keys, ns, held)
+                    keys, ns, held = ([], []), ([], []), []
+                now = shard[a]
+                part = batch.slice(a, b - a)
+                if kind[a] < 2:
+                    keys[kind[a]].append(part.column(2).to_numpy())
+                    ns[kind[a]].append(part.column(3).to_numpy())
+                else:
+                    held += zip(*[part.column(j).to_pylist() for j in range(4, 10)])
+        if now is not None:
+            yield from finish(keys, ns, held)
+
+    def finish(keys: tuple, ns: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        tables = []
+        for k, n in zip(keys, ns):
+            k, n = np.concatenate([np.zeros(0, np.int64), *k]), np.concatenate([np.zeros(0, np.int64), *n])
+            order = np.argsort(k)
+            tables.append((k[order], n[order]))
+        grams = np.concatenate([shared.value.unpacked(h[1], h[2]) for h in held])
+        n = np.concatenate([numbers(h[3]) for h in held])
+        order = np.lexsort((grams[:, 2], grams[:, 0], grams[:, 1]))
+        grams, n = grams[order], n[order]
+        new = np.append(True, (grams[1:] != grams[:-1]).any(axis=1))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        n = np.add.reduceat(n.astype(np.int64), np.flatnonzero(new))
+        each = shared.value.scores(grams[new], n, *tables)[place]
+        start = 0
+        for piece, _, _, _, repeats, of in held:
+            many = numbers(repeats)
+            log = np.repeat(each[start : start + len(many)], many)
+            start += len(many)
+            text, sums = summed_by(numbers(of), log)
+            yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([packed(text)]), pa.array([sums.tobytes()])], names=["piece", "of", "sums"])
+
+    return rows.mapInArrow(run, "piece long, of binary, sums binary")
+
+
+def by_row(sums: DataFrame) -> DataFrame:
+    """(row, score): a piece's texts have the rows from its number on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0)
+        for batch in batches:
+            for piece, of, own in zip(*[c.to_pylist() for c in batch.columns]):
+                if piece != now:
+                    if now is not None:
+                        yield done(now, total)
+                    now, total = piece, np.zeros(0)
+                of = numbers(of)
+                if of[-1] >= len(total):
+                    total = np.append(total, np.zeros(of[-1] + 1 - len(total)))
+                total[of] += np.frombuffer(own, np.float64)
+        if now is not None:
+            yield done(now, total)
+
+    def done(piece: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(piece + np.arange(len(total))), pa.array(total)], names=["row", "score"])
+
+    return sums.mapInArrow(run, "row long, score double")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     for each row."""
-    scratch = Scratch(docs.sparkSession, "lm")
-    model, counts = train(docs, scratch)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
+    model, counts, pairs = train(docs, scratch)
+    shared = spark.sparkContext.broadcast(model)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    head = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, words array<long>, ns array<int>"
+    schema = f"{head}, shard long, late array<long>, {PIECES}"
+    types = spark.createDataFrame([], schema).toArrow().schema
+
+    def filled(columns: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in types], names=types.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        mapped = opened(own.name)
+        held, size = [], 0
         for batch in parts(batches):
             texts = batch.column(3).to_pylist()
             for a, b in chunks(texts):
-                s = own.score(texts[a:b], mapped)
+                found, bounds = words(texts[a:b])
+                found, bounds = found.view(np.int64), bounds - bounds[0]
+                s = own.heads(found, bounds)
                 at = pa.array(s["late_of"].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(j).slice(a, b - a) for j in range(3)],
-                        *[pa.array(s[c], t) for c, t in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))],
-                        pa.ListArray.from_arrays(at, pa.array(s["late_word"])),
-                        pa.ListArray.from_arrays(at, pa.array(s["late_n"].astype(np.int32))),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "ns"],
+                three = {c: batch.column(j).slice(a, b - a) for j, c in enumerate(("row", "doc_id", "held_out"))}
+                yield filled(
+                    three
+                    | {c: pa.array(s[c]) for c in ("n_tokens", "n_known", "base")}
+                    | {"words": pa.ListArray.from_arrays(at, pa.array(s["late_word"])), "ns": pa.ListArray.from_arrays(at, pa.array(s["late_n"].astype(np.int32)))},
+                    b - a,
                 )
+                row = three["row"].to_numpy()
+                # A piece's rows follow one another.
+                if held and row[0] != held[-1][0][-1] + 1:
+                    yield from dealt(own, held)
+                    held, size = [], 0
+                held.append((row, found, np.diff(bounds), ~three["held_out"].to_numpy(zero_copy_only=False)))
+                size += sum(map(len, texts[a:b]))
+                if size >= PIECE:
+                    yield from dealt(own, held)
+                    held, size = [], 0
+        if held:
+            yield from dealt(own, held)
+
+    def dealt(own: Model, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        row, found, size, trained = (np.concatenate(x) for x in zip(*held))
+        out = list(own.pieces(found, np.concatenate(([0], np.cumsum(size))), trained))
+        names = ("shard", "late", "grams", "rest", "trained", "repeats", "of")
+        columns = {c: pa.array([x[j] for x in out]) if c != "late" else pa.array([x[j] for x in out], pa.list_(pa.int64())) for j, c in enumerate(names)}
+        yield filled(columns | {"piece": pa.array(np.full(len(out), row[0]))}, len(out))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
     # The row numbers hold because they are written with the rows.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), text_of().alias("text"))
-    heads = scratch.save(
-        rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, ns array<int>"), "heads"
-    )
+    both = scratch.save(rows.mapInArrow(run, schema), "both")
+    heads, pieces = both.where(F.col("row").isNotNull()), both.where(F.col("piece").isNotNull())
+    met = pieces.select("shard", F.explode("late").alias("key")).distinct().join(counts, "key").select("shard", F.lit(0).alias("kind"), "key", "n")
+    if pairs is not None:
+        met = met.unionByName(pairs)
+    names = [f.split()[0] for f in PIECES.split(", ")]
+    every = met.unionByName(pieces.select("shard", F.lit(2).alias("kind"), *names), allowMissingColumns=True)
+    placed = every.repartition(model.shards, "shard").sortWithinPartitions("shard", "kind").select("shard", "kind", "key", "n", *names)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    scored = by_row(shard_sums(placed, shared).repartition(tasks, "piece").sortWithinPartitions("piece"))
     late = heads.select("row", F.explode(F.arrays_zip("words", "ns")).alias("w")).select("row", F.col("w.words").alias("key"), F.col("w.ns").alias("m"))
     # A word that has no count was not in training.
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.norm))
     sums = (
         late.join(counts, "key", "left")
         .groupBy("row")
-        .agg(
-            F.sum(F.col("m") * log).alias("late"),
-            F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("late_known"),
-            F.sum("m").alias("late_n"),
-        )
+        .agg(F.sum(F.col("m") * log).alias("late"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("late_known"))
     )
     zero = F.lit(0)
-    return heads.drop("words", "ns").join(sums, "row", "left").select(
+    return heads.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base").join(sums, "row", "left").join(scored, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("late_known", zero)).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("late", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("late", zero)).alias("score"),
+        "score",
     )

@@ -91,3 +91,36 @@ def test_trie_round_trip(tmp_path):
         assert np.array_equal(own.log_p(at, n), p) and np.array_equal(own.backoff(at, n), b)
         some, known = rng.integers(0, v, (2000, n)), {tuple(x) for x in grams.tolist()}
         assert [(a >= 0) for a in own.find(some, n)] == [tuple(x) in known for x in some.tolist()]
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 40])
+def test_whole_vocabulary(spark, docs_table, monkeypatch, shard):
+    """More words than any closed vocabulary of N_WORDS; frequent words in several shards."""
+    monkeypatch.setattr(lm, "SHARD", shard, raising=False)
+    monkeypatch.setattr(lm, "FREQUENT", 200)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, 25), 600))) for i in range(150)]
+    rows += [(i + 1000, t) for i, t in rows[:40]] + [(5000, None), (None, "w1 w2")]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    tri, bi, uni = Counter(), Counter(), Counter()
+    lines = [(d, ["</s>", "</s>", *tokens(t)]) for d, t in rows]
+    for d, x in lines:
+        if not held(d):
+            tri.update(zip(x, x[1:], x[2:]))
+            bi.update(zip(x[1:], x[2:]))
+            uni.update(x[2:])
+    assert len(uni) > lm.N_WORDS + 100
+    c3, k3, c2, k2 = Counter(), Counter(), Counter(), Counter()
+    for (a, b, w), n in tri.items():
+        c3[a, b] += n
+        k3[a, b] += 1
+    for (b, w), n in bi.items():
+        c2[b] += n
+        k2[b] += 1
+    one = lambda w: (uni[w] + 0.5) / (sum(uni.values()) + 0.5 * (len(uni) + 1))
+    two = lambda b, w: (bi[b, w] + k2[b] * one(w)) / (c2[b] + k2[b]) if c2[b] else one(w)
+    three = lambda a, b, w: (tri[a, b, w] + k3[a, b] * two(b, w)) / (c3[a, b] + k3[a, b]) if c3[a, b] else two(b, w)
+    want = sorted((str(d), sum(math.log10(three(*x[i : i + 3])) for i in range(len(x) - 2)), len(x) - 2) for d, x in lines)
+    got = sorted((str(r["doc_id"]), r["score"], r["n_tokens"]) for r in lm.score(docs_table(rows)).collect())
+    for g, w in zip(got, want, strict=True):
+        assert g[0] == w[0] and g[2] == w[2] and abs(g[1] - w[1]) < 0.001 * g[2]

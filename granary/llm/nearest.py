@@ -158,7 +158,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     )
     entries = scratch.save(entries, "entries")
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    total, norm = entries.agg(F.count("*"), F.max(F.sqrt(square))).first()
+    total, n_ids, norm = entries.agg(F.count("*"), F.sum(F.size("ids")), F.max(F.sqrt(square))).first()
     hashing = spark.sparkContext.broadcast(Tables(dim, norm))
 
     def to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     found = both.repartition(tasks, "slot").sortWithinPartitions("kind").mapInArrow(rank_slots, out_schema)
     merged = top(found.dropDuplicates(["k1", "k2", "vec_id"]), k + 1)
     merged = scratch.save(merged, "found")
-    few = asked.join(merged.groupBy("k1", "k2").count().where(F.col("count") > min(k, total - 1)), ["k1", "k2"], "left_anti")
+    few = asked.join(merged.groupBy("k1", "k2").count().where(F.col("count") > min(k, n_ids - 1)), ["k1", "k2"], "left_anti")
     full = scratch.save(whole(entries, few, k), "whole")
     if full.limit(1).count():
         merged = top(merged.unionByName(full).dropDuplicates(["k1", "k2", "vec_id"]), k + 1)

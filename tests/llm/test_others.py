@@ -212,3 +212,13 @@ def test_nearest_small_tables(spark):
     assert nearest.search(vectors(spark, [])).count() == 0
     assert nearest.search(vectors(spark, [(1, [1.0, 2.0], 0)])).count() == 0
     assert nearest.search(vectors(spark, [(0, [1.0, 2.0], 0)])).count() == 0
+
+
+def test_nearest_few_vectors_in_copies(spark):
+    rng = np.random.default_rng(4)
+    kinds = [[float(x) for x in rng.normal(size=16)] for _ in range(10)]
+    got = nearest.search(vectors(spark, [(i, kinds[i % 10], 0) for i in range(50)])).collect()
+    ranks = {}
+    for r in got:
+        ranks.setdefault(r["query_id"], []).append(r["rank"])
+    assert ranks and all(sorted(x) == list(range(1, 21)) for x in ranks.values())

@@ -4,21 +4,24 @@ Words are runs without ASCII white space, A-Z in lower case; each text ends
 with an end token.  Words are known by a 64-bit hash, as usual in such models.
 
 1. Exact counts of all words of the training texts: summed in each task, then
-   by a shuffle of (word, count).
-2. Every text's n-grams up to ORDER = 3 go to shards by their middle word, so
-   that a shard holds all that follows its contexts; a word too frequent for a
-   shard is dealt further by the word before it, and its bigram counts, taken
-   over the whole corpus first, go to each of its shards.  The number of shards
-   grows with the corpus; no word and no n-gram is left out.
+   by a shuffle of (word, count).  The most frequent ones, FREQUENT at most, go
+   to all workers, as a table of hashes and counts.
+2. Every token goes, with the two words before it, to a shard by the middle
+   word, so that a shard holds all that follows its contexts; a word too
+   frequent for a shard is dealt further by the word before it, and its bigram
+   counts, taken over the whole corpus first, go to each of its shards.  The
+   number of shards grows with the corpus; no word and no n-gram is left out.
+   What lies in one shard from some texts in a row (a piece) travels as one
+   compressed row; pieces grow with the number of shards, so rows stay large.
 3. Each shard counts its n-grams of training texts, smooths them by Witten-Bell
    interpolation, builds its own Elias-Fano trie, which it maps into memory,
-   and scores its n-grams of all texts.  Sums by text come back by a shuffle.
-4. The base score: frequent words are looked up in a broadcast table of
-   FREQUENT counts; only the others, once per text, are shuffled to meet their
-   counts, and once per shard and piece for the trie's first level.
+   and looks up its n-grams of all texts.  Sums by text go back by a shuffle.
+4. Words beyond the frequent ones are counted where they stand in the middle,
+   which gives their part of the base score; where they stand last, their
+   counts come to the shard by a join.
 
-Words not in training share one class; unigram smoothing gives half a count to
-each word and the class, and to N_WORDS of them at least.
+Unigrams have the probabilities of the base score, so a word that is not in
+training has half a count.
 
 Defined results: a null text is empty and scores its end token; a null doc_id
 is not held out; each row has its own result, so repeated rows repeat (and
@@ -28,12 +31,13 @@ of the smoothing alone; other columns are not read; empty in, empty out.
 
 from __future__ import annotations
 
-import tempfile
-import zlib
+import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +45,10 @@ from granary.llm import trie
 from granary.llm.hashing import mix, words
 from granary.llm.shared import Scratch, parts, text_of
 
-ORDER, N_WORDS, FREQUENT = 3, 128, 65_536
-#: Tokens of a shard; characters whose n-grams a task deals out at a time.
-SHARD, PIECE = 1 << 20, 1 << 21
+#: Words of the table that all workers hold, at most (16 bytes each).
+FREQUENT = 1 << 20
+#: Tokens of a shard, on average; tokens of a piece, at least and at most, and for each shard.
+SHARD, PIECE, LARGEST_PIECE, PER_SHARD = 1 << 20, 1 << 18, 1 << 21, 256
 #: Characters hashed at a time; distinct keys that a task sums before it sends.
 CHUNK, HELD = 1 << 18, 1 << 19
 #: The hash that stands for the end token; no word has it but by accident.
@@ -86,319 +91,455 @@ class Sums:
         n = np.bincount(at, weights=np.concatenate(self.counts)).astype(np.int64)
         self.keys, self.counts, self.size = [k], [n], len(k)
 
-    def take(self) -> pa.RecordBatch | None:
+    def full(self) -> bool:
+        if self.size > HELD:
+            self.compact()
+        return self.size > HELD
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
         self.compact()
-        if not self.size:
-            return None
-        out = pa.RecordBatch.from_arrays([pa.array(self.keys[0].astype(np.int64)), pa.array(self.counts[0])], names=["key", "n"])
+        out = (self.keys[0].astype(np.int64), self.counts[0]) if self.size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.keys, self.counts, self.size = [], [], 0
         return out
 
 
-def summed(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, n) over all texts; keys_of gives the keys of some texts."""
+def batch_of(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(key, n): how often each word, and the end token, occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Sums()
         for batch in parts(batches):
             own = batch.column(0).to_pylist()
             for a, b in chunks(own):
-                held.add(keys_of(own[a:b]))
-                if held.size > HELD:
-                    held.compact()
-                    if held.size > HELD:
-                        yield held.take()
-        last = held.take()
-        if last is not None:
-            yield last
+                held.add(np.append(words(own[a:b])[0].view(np.int64), np.full(b - a, END_HASH)))
+                if held.full():
+                    yield batch_of(*held.take(), names=["key", "n"])
+        yield batch_of(*held.take(), names=["key", "n"])
 
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def word_keys(texts: list[str]) -> np.ndarray:
-    return np.concatenate([words(texts)[0].view(np.int64), np.full(len(texts), END_HASH)])
-
-
-def windows(found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER words up to each token as rows, text by text, with the end
-    token after each text and ends before it; and the token's text."""
-    n, pad = len(bounds) - 1, ORDER - 1
-    size = np.diff(bounds)
-    line = np.full(len(found) + n * (pad + 1), END_HASH, dtype=np.int64)
-    first = bounds[:-1] + np.arange(n) * (pad + 1) + pad
-    line[np.repeat(first - bounds[:-1], size) + np.arange(len(found))] = found
-    text = np.repeat(np.arange(n), size + 1)
-    ends = np.arange(len(found) + n) + pad * (text + 1)
-    return np.stack([line[ends - j] for j in range(pad, -1, -1)], axis=1), text
-
-
-def places(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in an ascending table, and whether the values are there."""
-    if not len(table):
-        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-    return at, table[at] == wanted
-
-
-def packed(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype("<i4").tobytes(), 1)
+def ranks(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of numbers below ``size``, and which rows differ from
+    the one before in that order."""
+    if size ** len(columns) < 1 << 63:
+        key = columns[0].astype(np.int64)
+        for c in columns[1:]:
+            key = key * size + c
+        order = np.argsort(key)
+        key = key[order]
+        return order, np.append(True, key[1:] != key[:-1])[: len(key)]
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    return order, new
+
+
+def planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of 32-bit numbers, a row for each place."""
+    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T
+
+
+def numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+class Words:
+    """Counts of words by hash; a lookup starts from the hash's leading bits."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        bits = max(1, len(self).bit_length())
+        return np.append(np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(self)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places, -1 for words that are not there."""
+        bucket = (hashes >> np.uint64(64 - max(1, len(self).bit_length()))).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        out = np.full(len(hashes), -1, dtype=np.int32)
+        going = np.flatnonzero(at < end)
+        while len(going):
+            here = at[going]
+            hit = self.hashes[here] == hashes[going]
+            out[going[hit]] = here[hit]
+            at[going] += 1
+            going = going[~hit & (here + 1 < end[going])]
+        return out
 
 
-def numbers(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), "<i4")
+def hashes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    found, bounds = words(texts)
+    return found, np.diff(bounds)
 
 
-def summed_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, at = np.unique(keys, return_inverse=True)
-    return own, np.bincount(at, weights=n, minlength=len(own))
+def windows(values: np.ndarray, size: np.ndarray, end) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token, text by text and with the end token last, the values two
+    and one before it, where texts begin with ends, and its own."""
+    n = len(size)
+    line = np.full(len(values) + 3 * n, end, dtype=values.dtype)
+    line[np.repeat(3 * np.arange(n) + 2, size) + np.arange(len(values))] = values
+    at = np.arange(len(values) + n) + 2 * (np.repeat(np.arange(n), size + 1) + 1)
+    return line[at - 2], line[at - 1], line[at]
 
 
 class Model:
     """What all workers need: counts of frequent words, and the shards."""
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, total: int, distinct: int, shards: int):
-        order = np.argsort(frequent)
-        self.total, self.shards = total, shards
-        self.hashes, self.counts = frequent[order], counts[order]
+    def __init__(self, table: Words, total: int, distinct: int, shards: int):
+        self.table, self.total, self.distinct, self.shards = table, total, distinct, shards
         self.norm = total + 0.5 * (distinct + 1)
-        self.smooth = total + 0.5 * max(distinct + 1, N_WORDS)
-        self.ends = int(self.counts[self.hashes == END_HASH].sum())
-        #: Words that are dealt over several shards.
-        many = self.counts > SHARD // 2
-        self.hot, self.split = self.hashes[many], -(-self.counts[many] * 2 // SHARD)
-        self.bits = int(len(self.hot)).bit_length()
-
-    def shard(self, before: np.ndarray, middle: np.ndarray) -> np.ndarray:
-        at, hot = places(self.hot, middle)
+        self.end = int(np.searchsorted(table.hashes, END_HASH.view(np.uint64)))
+        self.logs = np.log10((table.counts + 0.5) / self.norm)
+        #: Places of words that are dealt over several shards, and over how many.
+        self.hot = np.flatnonzero(table.counts > SHARD // 2)
+        self.split = -(-table.counts[self.hot] * 2 // SHARD)
+        self.bits = max(1, len(self.hot).bit_length())
+        self.piece = min(max(PIECE, PER_SHARD * shards), LARGEST_PIECE)
+
+    def deal(self, word: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        return (mix(mix(word) + turn) % np.uint64(self.shards)).astype(np.int64)
+
+    def hot_place(self, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the hot words, and which words are hot, by places in the table."""
+        if not len(self.hot):
+            return np.zeros(len(middle), dtype=np.int64), np.zeros(len(middle), dtype=bool)
+        at = np.minimum(np.searchsorted(self.hot, middle), len(self.hot) - 1)
+        return at, self.hot[at] == middle
+
+    def shard(self, before: np.ndarray, middle: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of the hashes of the two words before a token and the middle one's place."""
         turn = np.zeros(len(middle), dtype=np.uint64)
-        turn[hot] = mix(before[hot].view(np.uint64)) % self.split[at[hot]].astype(np.uint64)
-        return (mix(mix(middle.view(np.uint64)) + turn) % np.uint64(self.shards)).astype(np.int64)
+        at, hot = self.hot_place(place)
+        turn[hot] = mix(before[hot]) % self.split[at[hot]].astype(np.uint64)
+        return self.deal(middle, turn)
 
     def shards_of(self, i: int) -> list[int]:
-        """All shards of a hot word."""
+        """All shards of the i-th hot word."""
         turn = np.arange(self.split[i], dtype=np.uint64)
-        return np.unique(mix(mix(self.hot[i : i + 1].view(np.uint64)) + turn) % np.uint64(self.shards)).astype(np.int64).tolist()
-
-    def pair_keys(self, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Keys of bigrams of hot words: the word's place, then hash bits."""
-        at = places(self.hot, middle)[0].astype(np.uint64)
-        return ((at << np.uint64(64 - self.bits)) | (mix(last.view(np.uint64)) >> np.uint64(self.bits))).view(np.int64)
-
-    def heads(self, found: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-        size = np.diff(bounds)
-        n = len(size)
-        owner = np.repeat(np.arange(n), size)
-        at, known = places(self.hashes, found)
-        log = np.zeros(len(found))
-        log[known] = np.log10((self.counts[at[known]] + 0.5) / self.norm)
-        # Words that the table lacks, once per text.
-        late_owner, late = owner[~known], found[~known]
-        order = np.lexsort((late, late_owner))
-        late_owner, late = late_owner[order], late[order]
-        first = np.ones(len(late), dtype=bool)
-        first[1:] = (late[1:] != late[:-1]) | (late_owner[1:] != late_owner[:-1])
-        starts = np.flatnonzero(first)
-        return {
-            "n_tokens": size + 1,
-            "n_known": np.bincount(owner[known], minlength=n) + (self.ends > 0),
-            "base": np.bincount(owner, weights=log, minlength=n) + np.log10((self.ends + 0.5) / self.norm),
-            "late_word": late[starts],
-            "late_n": np.diff(np.append(starts, len(late))),
-            "late_of": np.searchsorted(late_owner[starts], np.arange(n + 1)),
-        }
-
-    def pieces(self, found: np.ndarray, bounds: np.ndarray, trained: np.ndarray) -> Iterator[tuple]:
-        """(shard, late words, grams, their rare words, counts in training and in all, each token's text)."""
-        grams, text = windows(found, bounds)
-        shard = self.shard(grams[:, 0], grams[:, 1])
-        order = np.lexsort((grams[:, 2], grams[:, 0], grams[:, 1], shard))
-        grams, text, shard = grams[order], text[order], shard[order]
-        new = np.ones(len(grams), dtype=bool)
-        new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
-        place = np.cumsum(new) - 1
-        n = np.bincount(place, weights=trained[text], minlength=int(new.sum())).astype(np.int32)
-        grams = grams[new]
-        late = ~places(self.hashes, grams[:, 2])[1]
-        edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
-        for a, b in zip(edges, [*edges[1:], len(shard)]):
-            lo, hi = place[a], place[b - 1] + 1
-            own = grams[lo:hi]
-            yield int(shard[a]), np.unique(own[late[lo:hi], 2]), *self.packed(own), packed(n[lo:hi]), packed(np.bincount(place[a:b] - lo)), packed(text[a:b])
-
-    def packed(self, grams: np.ndarray) -> tuple[bytes, bytes]:
-        """Two bytes for a frequent word; the others whole, in order."""
-        flat = grams.T.ravel()
-        at, known = places(self.hashes, flat)
-        known &= at < 0xFFFF
-        return zlib.compress(np.where(known, at, 0xFFFF).astype("<u2").tobytes(), 1), flat[~known].tobytes()
-
-    def unpacked(self, codes: bytes, rest: bytes) -> np.ndarray:
-        code = np.frombuffer(zlib.decompress(codes), "<u2")
-        known = code < 0xFFFF
-        flat = np.empty(len(code), dtype=np.int64)
-        flat[known], flat[~known] = self.hashes[code[known]], np.frombuffer(rest, np.int64)
-        return flat.reshape(3, -1).T
-
-    def scores(self, grams: np.ndarray, n: np.ndarray, late: tuple, pairs: tuple) -> np.ndarray:
-        """Log probabilities of different grams by the shard's trie, from their
-        counts in training, counts of late words and of hot words' bigrams."""
-        word, ids = np.unique(grams, return_inverse=True)
-        ids, v = ids.reshape(grams.shape), len(word)
-        count = np.zeros(v)
-        for table, values in ((self.hashes, self.counts), late):
-            at, known = places(table, word)
-            count[known] = values[at[known]]
-        one = (count + 0.5) / self.smooth
-        own = ids[n > 0]
+        return np.unique(self.deal(np.repeat(self.table.hashes[self.hot[i]], len(turn)), turn)).tolist()
+
+    def pair_keys(self, i: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Keys of bigrams of hot words: the word's place among them, then hash bits."""
+        return ((i.astype(np.uint64) << np.uint64(64 - self.bits)) | (mix(last) >> np.uint64(self.bits))).view(np.int64)
+
+    def heads(self, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """By text: tokens, known tokens and base score as far as the table goes."""
+        owner, n = np.repeat(np.arange(len(size)), size), len(size)
+        found = place >= 0
+        out = np.zeros(n, dtype=HEAD)
+        out["tokens"] = size + 1
+        known = found & (self.table.counts[place] > 0)
+        out["known"] = np.bincount(owner[known], minlength=n) + (self.table.counts[self.end] > 0)
+        out["base"] = np.bincount(owner[found], weights=self.logs[place[found]], minlength=n) + self.logs[self.end]
+        return out
+
+    def pieces(self, found: np.ndarray, place: np.ndarray, size: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(shard, packed tokens) of some texts; tokens keep their texts' order."""
+        rare = np.int32(len(self.table))
+        a, b, c = windows(np.where(place >= 0, place, rare), size, self.end)
+        before, middle, last = windows(found, size, END_HASH.view(np.uint64))
+        text = np.repeat(np.arange(len(size)) * 2 + held, size + 1)
+        shard = self.shard(before, middle, b)
+        order = np.argsort(shard.astype(np.uint16) if self.shards <= 1 << 16 else shard, kind="stable")
+        shard, text = shard[order], text[order]
+        step = np.diff(text, prepend=0)
+        edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        step[edge] = text[edge]
+        rows = np.concatenate([planes(x[order])[:3] for x in (a, b, c)] + [planes(step)])
+        lost = np.stack([a, b, c], axis=1)[order] == rare
+        rest = np.stack([before, middle, last], axis=1)[order][lost]
+        upto = np.append(0, np.cumsum(lost.sum(axis=1)))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(shard)]):
+            raw = pack(rows[:, lo:hi].tobytes())
+            yield int(shard[lo]), len(raw).to_bytes(4, "little") + raw + rest[upto[lo] : upto[hi]].tobytes()
+
+    def tokens(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places as rows of three, hashes of words that have none, texts, blob) from packed tokens."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        rows, rest, text = [], [], []
+        for blob in blobs:
+            n = 4 + int.from_bytes(blob[:4], "little")
+            own = np.frombuffer(unpack(blob[4:n]), np.uint8).reshape(13, -1)
+            rows.append(own[:9])
+            text.append(np.cumsum(numbers(own[9:])))
+            rest.append(np.frombuffer(blob[n:], np.uint64))
+        raw = np.concatenate(rows, axis=1).astype(np.int32)
+        grams = np.stack([raw[j] | raw[j + 1] << 8 | raw[j + 2] << 16 for j in (0, 3, 6)], axis=1)
+        return grams, np.concatenate(rest), np.concatenate(text), np.repeat(np.arange(len(blobs)), [len(t) for t in text])
+
+    def scores(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, place: np.ndarray, hashes: np.ndarray, count: np.ndarray, pairs: tuple) -> np.ndarray:
+        """Log probabilities of different grams, in order, by the shard's trie,
+        from their counts in training, the words' places, hashes and counts,
+        and the counts of hot words' bigrams."""
+        v = len(place)
+        one = (count + 0.5) / self.norm
         # Bigrams of the shard's middle words, all of them in training counted here or, for hot words, before.
-        asked = np.unique(ids[:, 1] * v + ids[:, 2])
-        own_key, own_n = summed_by(own[:, 1] * v + own[:, 2], n[n > 0])
-        two_n = np.zeros(len(asked))
-        two_n[np.searchsorted(asked, own_key)] = own_n
+        order, new = ranks([b, c], v)
+        inverse = np.empty(len(order), dtype=np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        asked = (b.astype(np.int64) * v + c)[order[new]]
+        two_n = np.bincount(inverse, weights=n, minlength=len(asked))
         c2 = np.bincount(asked // v, weights=two_n, minlength=v)
         k2 = np.bincount(asked // v, weights=two_n > 0, minlength=v)
-        hot = places(self.hot, word)[1]
+        at, hot = self.hot_place(place)
         if hot.any():
             key, total = pairs
-            of = key.view(np.uint64) >> np.uint64(64 - self.bits)
-            place, of_hot = places(self.hot, word)
-            c2[of_hot] = np.bincount(of.astype(np.int64), weights=total, minlength=len(self.hot))[place[of_hot]]
-            k2[of_hot] = np.bincount(of.astype(np.int64), minlength=len(self.hot))[place[of_hot]]
-            mine = hot[asked // v]
-            at, known = places(key, self.pair_keys(word[asked[mine] // v], word[asked[mine] % v]))
-            two_n[mine] = np.where(known, total[at] if len(total) else 0, 0)
+            of = (key.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+            c2[hot] = np.bincount(of, weights=total, minlength=len(self.hot))[at[hot]]
+            k2[hot] = np.bincount(of, minlength=len(self.hot))[at[hot]]
+            mine = np.flatnonzero(hot[asked // v])
+            wanted = self.pair_keys(at[asked[mine] // v], hashes[asked[mine] % v])
+            where = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+            two_n[mine] = np.where(key[where] == wanted, total[where], 0) if len(key) else 0
         # Level 2: those bigrams that occur, and the contexts of trigrams.
-        context, c3 = summed_by(own[:, 0] * v + own[:, 1], n[n > 0])
-        k3 = np.bincount(np.searchsorted(context, own[:, 0] * v + own[:, 1]), minlength=len(context)).astype(np.float64)
+        own = n > 0
+        a3, b3, c3, n3 = a[own].astype(np.int64), b[own].astype(np.int64), c[own].astype(np.int64), n[own]
+        context = a3 * v + b3
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(context)])
+        context_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+        context = context[first]
+        total3 = np.bincount(context_of, weights=n3, minlength=len(first))
+        kinds3 = np.bincount(context_of, minlength=len(first)).astype(np.float64)
         level = np.union1d(asked[two_n > 0], context)
-        at, known = places(asked, level)
-        level_n = np.where(known, two_n[at], 0)
-
-        def after(middle: np.ndarray, last: np.ndarray, found: np.ndarray) -> np.ndarray:
-            some = c2[middle] + k2[middle]
-            return np.where(some > 0, (found + k2[middle] * one[last]) / np.maximum(some, 1), one[last])
-
-        two = after(level // v, level % v, level_n)
+        at = np.searchsorted(asked, level)
+        at[at == len(asked)] = 0
+        level_n = np.where(asked[at] == level, two_n[at], 0) if len(asked) else np.zeros(len(level))
+        x, y = level // v, level % v
+        some = c2[x] + k2[x]
+        two = np.where(some > 0, (level_n + k2[x] * one[y]) / np.maximum(some, 1), one[y])
         back2 = np.zeros(len(level))
-        back2[np.searchsorted(level, context)] = np.log10(k3 / (c3 + k3))
+        back2[np.searchsorted(level, context)] = np.log10(kinds3 / (total3 + kinds3))
         back1 = np.where(c2 > 0, np.log10(np.maximum(k2, 1) / np.maximum(c2 + k2, 1)), 0.0)
-        order = np.lexsort((own[:, 2], own[:, 1], own[:, 0]))
-        own, own_n = own[order], n[n > 0][order]
-        at = np.searchsorted(context, own[:, 0] * v + own[:, 1])
-        below = two[np.searchsorted(level, own[:, 1] * v + own[:, 2])]
-        three = (own_n + k3[at] * below) / (c3 + k3)[at]
+        below = two[np.searchsorted(level, asked)[inverse[own]]] if len(level) else np.zeros(0)
+        three = (n3 + kinds3[context_of] * below) / (total3 + kinds3)[context_of]
         levels = [
             (np.arange(v)[:, None], np.log10(one), back1),
-            (np.stack([level // v, level % v], axis=1), np.log10(two), back2),
-            (own, np.log10(three), np.zeros(len(own))),
+            (np.stack([x, y], axis=1), np.log10(two), back2),
+            (np.stack([a3, b3, c3], axis=1), np.log10(three), np.zeros(0)),
         ]
-        with tempfile.NamedTemporaryFile(prefix="granary-trie-") as f:
-            trie.to_file(trie.Trie.build(levels, v), f.name)
-            mapped = trie.open_file(f.name)
-            return np.concatenate([mapped.score(ids[a : a + 65_536]) for a in range(0, len(ids), 65_536)])
+        with os.fdopen(os.memfd_create("trie"), "w+b") as f:
+            trie.to_file(trie.Trie.build(levels, v), f)
+            mapped = trie.open_file(f)
+            grams = np.stack([a, b, c], axis=1)
+            return np.concatenate([np.zeros(0), *[mapped.score(grams[i : i + BLOCK]) for i in range(0, len(grams), BLOCK)]])
 
 
-def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, DataFrame | None]:
-    """The model of the rows that are not held out, the words' counts, and
-    the counts of hot words' bigrams by shard."""
+#: Grams that are looked up at a time.
+BLOCK = 1 << 18
+HEAD = np.dtype([("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("held", "?")])
+SUMS = "shard long, kind int, a long, b long, blob binary"
+#: Kinds of rows that go to the shards.
+LATE, PAIR, TOKENS, ROW = range(4)
+
+
+def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame | None]:
+    """The model of the rows that are not held out, and by shard the counts of
+    words that the model's table lacks and of hot words' bigrams."""
     spark = docs.sparkSession
     rest = remainder(F.col("doc_id"))
     texts = docs.where(rest.isNull() | (rest != 1)).select(text_of().alias("text"))
-    counts = scratch.save(summed(texts, word_keys), "counts")
-    total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()  # at most FREQUENT pairs of numbers
-    frequent, n = np.array([r["key"] for r in top], dtype=np.int64), np.array([r["n"] for r in top], dtype=np.int64)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // SHARD), 1)
-    model = Model(frequent, n, total or 0, distinct, shards)
-    if not len(model.hot):
-        return model, counts, None
-
-    def pair_keys(some: list[str]) -> np.ndarray:
-        found, bounds = words(some)
-        grams = windows(found.view(np.int64), bounds)[0]
-        grams = grams[places(model.hot, grams[:, 1])[1]]
-        return model.pair_keys(grams[:, 1], grams[:, 2])
+    counts = scratch.save(word_counts(texts), "counts")
+    # How many words have each count: at most some sqrt(2 x tokens) rows.
+    by_count = sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True)
+    total, distinct = sum(n * m for n, m in by_count), sum(m for _, m in by_count)
+    held = np.cumsum([m for _, m in by_count])
+    among = [n for (n, _), m in zip(by_count, held.tolist()) if m <= FREQUENT]
+    least = among[-1] if among else (by_count[0][0] + 1 if by_count else 1)
+    top = counts.where((F.col("n") >= least) & (F.col("key") != int(END_HASH))).toArrow()  # at most FREQUENT pairs of numbers
+    ends = counts.where(F.col("key") == int(END_HASH)).select("n").first()
+    table = Words(
+        np.append(top["key"].to_numpy(), END_HASH).astype(np.int64).view(np.uint64), np.append(top["n"].to_numpy(), ends[0] if ends else 0).astype(np.int64)
+    )
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD), 1)
+    model = Model(table, total, distinct, shards)
+    if distinct <= len(table) and not len(model.hot):
+        return model, None
+    shared = spark.sparkContext.broadcast(model)
 
-    where = spark.createDataFrame([(i, model.shards_of(i)) for i in range(len(model.hot))], "i long, shards array<long>")
-    pairs = summed(texts, pair_keys).withColumn("i", F.shiftrightunsigned("key", 64 - model.bits))
-    return model, counts, pairs.join(F.broadcast(where), "i").select(F.explode("shards").alias("shard"), F.lit(1).alias("kind"), "key", "n")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = shared.value, Sums()
 
+        def taken() -> pa.RecordBatch:
+            key, n = held.take()
+            return batch_of(np.full(len(key), PAIR, dtype=np.int32), key, n, names=["kind", "a", "b"])
 
-PIECES = "piece long, grams binary, rest binary, trained binary, repeats binary, of binary"
+        for batch in parts(batches):
+            some = batch.column(0).to_pylist()
+            for x, y in chunks(some):
+                found, size = hashes_of(some[x:y])
+                place = own.table.find(found)
+                _, b, c = windows(place, size, own.end)
+                before, middle, last = windows(found, size, END_HASH.view(np.uint64))
+                at, hot = own.hot_place(b)
+                hot &= np.repeat(batch.column(1).slice(x, y - x).to_numpy(zero_copy_only=False), size + 1)
+                held.add(own.pair_keys(at[hot], last[hot]))
+                if held.full():
+                    yield taken()
+                late = c < 0
+                if late.any():
+                    shard, key = own.shard(before[late], middle[late], b[late]), last[late].view(np.int64)
+                    order = np.lexsort((key, shard))
+                    shard, key = shard[order], key[order]
+                    new = np.append(True, (shard[1:] != shard[:-1]) | (key[1:] != key[:-1]))
+                    yield batch_of(np.full(int(new.sum()), LATE, dtype=np.int32), shard[new], key[new], names=["kind", "a", "b"])
+        yield taken()
+
+    every = docs.select(text_of().alias("text"), F.coalesce(rest != 1, F.lit(True)).alias("trained"))
+    side = scratch.save(every.mapInArrow(run, "kind int, a long, b long"), "side")
+    late = side.where(F.col("kind") == LATE).select(F.col("a").alias("shard"), F.col("b").alias("key")).distinct()
+    out = late.join(counts, "key").select("shard", F.lit(LATE).alias("kind"), F.col("key").alias("a"), F.col("n").alias("b"))
+    if len(model.hot):
+        where = spark.createDataFrame([(i, model.shards_of(i)) for i in range(len(model.hot))], "i long, shards array<long>")
+        pairs = side.where(F.col("kind") == PAIR).groupBy("a").agg(F.sum("b").alias("b")).withColumn("i", F.shiftrightunsigned("a", 64 - model.bits))
+        # As many rows as hot words, which are few.
+        out = out.unionByName(pairs.join(F.broadcast(where), "i").select(F.explode("shards").alias("shard"), F.lit(PAIR).alias("kind"), "a", "b"))
+    return model, out.withColumn("blob", F.lit(None).cast("binary"))
 
 
 def shard_sums(rows: DataFrame, shared) -> DataFrame:
-    """(piece, of, sums) from (shard, kind, key, n, piece, ...), shards together."""
+    """(a, kind, b, doc_id, blob) from (shard, kind, a, b, blob, doc_id), shards
+    together: sums of pieces by text, and rows of texts as they came."""
+    kept = ["a", "kind", "b", "doc_id", "blob"]
+    schema = rows.select(*kept).schema
+    none = pa.nulls(1, rows.limit(0).toArrow().schema.field("doc_id").type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, ns, held = None, ([], []), ([], []), []
+        now, tables, held = None, ([], []), []
         for batch in batches:
             shard, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1]))).tolist() if len(shard) else []
-            for a, b in zip(edges, [*edges[1:], len(shard)]):
-                if now is not None and shard[a] != now:
-                    yield from finish(keys, ns, held)
-                    keys, ns, held = ([], []), ([], []), []
-                now = shard[a]
-                part = batch.slice(a, b - a)
-                if kind[a] < 2:
-                    keys[kind[a]].append(part.column(2).to_numpy())
-                    ns[kind[a]].append(part.column(3).to_numpy())
+            for x, y in zip(edges, [*edges[1:], len(shard)]):
+                if now is not None and shard[x] != now:
+                    yield from finish(tables, held)
+                    tables, held = ([], []), []
+                now, part = shard[x], batch.slice(x, y - x)
+                if kind[x] in (LATE, PAIR):
+                    tables[kind[x]].append((part.column(2).to_numpy(), part.column(3).to_numpy()))
+                elif kind[x] == TOKENS:
+                    held += zip(part.column(2).to_pylist(), part.column(4).to_pylist())
                 else:
-                    held += zip(*[part.column(j).to_pylist() for j in range(4, 10)])
-        if now is not None:
-            yield from finish(keys, ns, held)
+                    yield part.select(kept)
+        yield from finish(tables, held)
 
-    def finish(keys: tuple, ns: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def finish(tables: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        tables = []
-        for k, n in zip(keys, ns):
-            k, n = np.concatenate([np.zeros(0, np.int64), *k]), np.concatenate([np.zeros(0, np.int64), *n])
-            order = np.argsort(k)
-            tables.append((k[order], n[order]))
-        grams = np.concatenate([shared.value.unpacked(h[1], h[2]) for h in held])
-        n = np.concatenate([numbers(h[3]) for h in held])
-        order = np.lexsort((grams[:, 2], grams[:, 0], grams[:, 1]))
-        grams, n = grams[order], n[order]
-        new = np.append(True, (grams[1:] != grams[:-1]).any(axis=1))
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.cumsum(new) - 1
-        n = np.add.reduceat(n.astype(np.int64), np.flatnonzero(new))
-        each = shared.value.scores(grams[new], n, *tables)[place]
-        start = 0
-        for piece, _, _, _, repeats, of in held:
-            many = numbers(repeats)
-            log = np.repeat(each[start : start + len(many)], many)
-            start += len(many)
-            text, sums = summed_by(numbers(of), log)
-            yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([packed(text)]), pa.array([sums.tobytes()])], names=["piece", "of", "sums"])
-
-    return rows.mapInArrow(run, "piece long, of binary, sums binary")
-
-
-def by_row(sums: DataFrame) -> DataFrame:
-    """(row, score): a piece's texts have the rows from its number on."""
+        own = shared.value
+        late, pairs = (sorted_table(t) for t in tables)
+        grams, rest, text, blob = own.tokens([h[1] for h in held])
+        names, which = np.unique(rest, return_inverse=True)
+        rare = len(own.table)
+        grams[grams == rare] += which.astype(np.int32)
+        # Numbers of the words that occur here.
+        present = np.zeros(rare + len(names), dtype=bool)
+        present[grams.ravel()] = True
+        code = np.flatnonzero(present)
+        grams = (np.cumsum(present, dtype=np.int32) - 1)[grams]
+        known = code < rare
+        place = np.where(known, code, -1)
+        hashes = np.empty(len(code), dtype=np.uint64)
+        hashes[known], hashes[~known] = own.table.hashes[code[known]], names
+        trained = text % 2 == 0
+        # Words that the table lacks: counted where they stand in the middle, or sent where they stand last.
+        count = np.bincount(grams[:, 1], weights=trained, minlength=len(code))
+        count[known] = own.table.counts[code[known]]
+        if len(late[0]):
+            wanted = hashes[~known].view(np.int64)
+            at = np.minimum(np.searchsorted(late[0], wanted), len(late[0]) - 1)
+            count[~known] = np.maximum(count[~known], np.where(late[0][at] == wanted, late[1][at], 0))
+        order, new = ranks([grams[:, 0], grams[:, 1], grams[:, 2]], len(code))
+        a, b, c = (grams[:, j][order[new]] for j in range(3))
+        n = np.add.reduceat(trained[order].astype(np.int64), np.flatnonzero(new))
+        each = own.scores(a, b, c, n, place, hashes, count, pairs)
+        log = np.empty(len(order))
+        log[order] = each[np.cumsum(new) - 1]
+        # Sums by text of each piece.
+        lost = ~known[grams[:, 1]]
+        first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (blob[1:] != blob[:-1])))
+        sums, of = np.add.reduceat(log, first), text[first] >> 1
+        lost_n = np.add.reduceat(lost.astype(np.int64), first)
+        base = np.add.reduceat(np.where(lost, np.log10((count + 0.5) / own.norm)[grams[:, 1]], 0.0), first)
+        seen = np.add.reduceat((lost & (count > 0)[grams[:, 1]]).astype(np.int64), first)
+        edge = np.searchsorted(blob[first], np.arange(len(held) + 1))
+        for i, (piece, _) in enumerate(held):
+            x, y = edge[i], edge[i + 1]
+            packed = pack_sums(of[x:y], sums[x:y], lost_n[x:y], seen[x:y], base[x:y])
+            yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([TOKENS], pa.int32()), pa.array([0]), none, pa.array([packed])], names=kept)
+
+    return rows.mapInArrow(run, schema)
+
+
+def sorted_table(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate([np.zeros(0, np.int64), *[r[j] for r in rows]]) for j in (0, 1))
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def pack_sums(of: np.ndarray, score: np.ndarray, lost: np.ndarray, seen: np.ndarray, base: np.ndarray) -> bytes:
+    head = zstandard.ZstdCompressor(level=1).compress(np.concatenate([planes(x) for x in (np.diff(of, prepend=0), lost, seen)]).tobytes())
+    return len(head).to_bytes(4, "little") + head + score.astype("<f4").tobytes() + base[lost > 0].astype("<f8").tobytes()
+
+
+def unpack_sums(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = 4 + int.from_bytes(raw[:4], "little")
+    head = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4:n]), np.uint8).reshape(12, -1)
+    of, lost, seen = np.cumsum(numbers(head[:4])), numbers(head[4:8]), numbers(head[8:])
+    base = np.zeros(len(of))
+    base[lost > 0] = np.frombuffer(raw[n + 4 * len(of) :], "<f8")
+    return of, np.frombuffer(raw[n : n + 4 * len(of)], "<f4").astype(np.float64), seen, base
+
+
+def by_text(sums: DataFrame, kind: str, total: int) -> DataFrame:
+    """The result from (a, kind, b, doc_id, blob): a piece's sums come first,
+    then its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(0)
+        now, columns = None, np.zeros((3, 0))
         for batch in batches:
-            for piece, of, own in zip(*[c.to_pylist() for c in batch.columns]):
-                if piece != now:
-                    if now is not None:
-                        yield done(now, total)
-                    now, total = piece, np.zeros(0)
-                of = numbers(of)
-                if of[-1] >= len(total):
-                    total = np.append(total, np.zeros(of[-1] + 1 - len(total)))
-                total[of] += np.frombuffer(own, np.float64)
-        if now is not None:
-            yield done(now, total)
-
-    def done(piece: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(piece + np.arange(len(total))), pa.array(total)], names=["row", "score"])
-
-    return sums.mapInArrow(run, "row long, score double")
+            piece, what = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (what[1:] != what[:-1]))).tolist() if len(piece) else []
+            for x, y in zip(edges, [*edges[1:], len(piece)]):
+                if piece[x] != now:
+                    now, columns = piece[x], np.zeros((3, 0))
+                if what[x] == TOKENS:
+                    for raw in batch.column(4).slice(x, y - x).to_pylist():
+                        of, *own = unpack_sums(raw)
+                        if of[-1] >= columns.shape[1]:
+                            columns = np.append(columns, np.zeros((3, 2 * int(of[-1]) + 1 - columns.shape[1])), axis=1)
+                        for j in range(3):
+                            columns[j, of] += own[j]
+                else:
+                    at = batch.column(2).slice(x, y - x).to_numpy()
+                    head = np.frombuffer(b"".join(batch.column(4).slice(x, y - x).to_pylist()), HEAD)
+                    score, seen, base = columns[:, at]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(3).slice(x, y - x),
+                            pa.array(head["held"]),
+                            pa.array(head["tokens"]),
+                            pa.array(head["known"] + seen.astype(np.int64)),
+                            pa.array(np.full(y - x, total)),
+                            pa.array(head["base"] + base),
+                            pa.array(score),
+                        ],
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    )
+
+    return sums.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -406,81 +547,56 @@ def score(docs: DataFrame) -> DataFrame:
     for each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    model, counts, pairs = train(docs, scratch)
+    model, more = train(docs, scratch)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    head = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, words array<long>, ns array<int>"
-    schema = f"{head}, shard long, late array<long>, {PIECES}"
-    types = spark.createDataFrame([], schema).toArrow().schema
-
-    def filled(columns: dict, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in types], names=types.names)
+    id_type = docs.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        held, size = [], 0
+        held, tokens = [], 0
         for batch in parts(batches):
             texts = batch.column(3).to_pylist()
-            for a, b in chunks(texts):
-                found, bounds = words(texts[a:b])
-                found, bounds = found.view(np.int64), bounds - bounds[0]
-                s = own.heads(found, bounds)
-                at = pa.array(s["late_of"].astype(np.int32))
-                three = {c: batch.column(j).slice(a, b - a) for j, c in enumerate(("row", "doc_id", "held_out"))}
-                yield filled(
-                    three
-                    | {c: pa.array(s[c]) for c in ("n_tokens", "n_known", "base")}
-                    | {"words": pa.ListArray.from_arrays(at, pa.array(s["late_word"])), "ns": pa.ListArray.from_arrays(at, pa.array(s["late_n"].astype(np.int32)))},
-                    b - a,
-                )
-                row = three["row"].to_numpy()
-                # A piece's rows follow one another.
-                if held and row[0] != held[-1][0][-1] + 1:
-                    yield from dealt(own, held)
-                    held, size = [], 0
-                held.append((row, found, np.diff(bounds), ~three["held_out"].to_numpy(zero_copy_only=False)))
-                size += sum(map(len, texts[a:b]))
-                if size >= PIECE:
-                    yield from dealt(own, held)
-                    held, size = [], 0
+            for x, y in chunks(texts):
+                found, size = hashes_of(texts[x:y])
+                place = own.table.find(found)
+                flags = batch.column(2).slice(x, y - x).to_numpy(zero_copy_only=False)
+                head = own.heads(place, size)
+                head["held"] = flags
+                row = batch.column(0).slice(x, y - x).to_numpy()
+                # A piece has the number of its first row.
+                held.append((row, found, place, size, flags))
+                piece = int(held[0][0][0])
+                n = len(row)
+                raw = head.tobytes()
+                blobs = [raw[i : i + HEAD.itemsize] for i in range(0, len(raw), HEAD.itemsize)]
+                yield rows_of(np.full(n, piece % own.shards), ROW, piece, sum(len(h[0]) for h in held[:-1]) + np.arange(n), blobs, batch.column(1).slice(x, y - x))
+                tokens += len(found) + n
+                if tokens >= own.piece:
+                    yield dealt(own, held)
+                    held, tokens = [], 0
         if held:
-            yield from dealt(own, held)
+            yield dealt(own, held)
 
-    def dealt(own: Model, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        row, found, size, trained = (np.concatenate(x) for x in zip(*held))
-        out = list(own.pieces(found, np.concatenate(([0], np.cumsum(size))), trained))
-        names = ("shard", "late", "grams", "rest", "trained", "repeats", "of")
-        columns = {c: pa.array([x[j] for x in out]) if c != "late" else pa.array([x[j] for x in out], pa.list_(pa.int64())) for j, c in enumerate(names)}
-        yield filled(columns | {"piece": pa.array(np.full(len(out), row[0]))}, len(out))
+    def dealt(own: Model, held: list[tuple]) -> pa.RecordBatch:
+        piece = int(held[0][0][0])
+        _, found, place, size, flags = (np.concatenate(x) for x in zip(*held))
+        out = list(own.pieces(found, place, size, flags))
+        return rows_of(np.array([s for s, _ in out]), TOKENS, piece, np.zeros(len(out), np.int64), [r for _, r in out], pa.nulls(len(out), id_type))
+
+    def rows_of(shard: np.ndarray, what: int, piece: int, b: np.ndarray, blobs: list[bytes], ids: pa.Array) -> pa.RecordBatch:
+        n = len(shard)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shard), pa.array(np.full(n, what, dtype=np.int32)), pa.array(np.full(n, piece)), pa.array(b), pa.array(blobs, pa.binary()), ids],
+            names=["shard", "kind", "a", "b", "blob", "doc_id"],
+        )
 
     held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
-    # The row numbers hold because they are written with the rows.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), text_of().alias("text"))
-    both = scratch.save(rows.mapInArrow(run, schema), "both")
-    heads, pieces = both.where(F.col("row").isNotNull()), both.where(F.col("piece").isNotNull())
-    met = pieces.select("shard", F.explode("late").alias("key")).distinct().join(counts, "key").select("shard", F.lit(0).alias("kind"), "key", "n")
-    if pairs is not None:
-        met = met.unionByName(pairs)
-    names = [f.split()[0] for f in PIECES.split(", ")]
-    every = met.unionByName(pieces.select("shard", F.lit(2).alias("kind"), *names), allowMissingColumns=True)
-    placed = every.repartition(model.shards, "shard").sortWithinPartitions("shard", "kind").select("shard", "kind", "key", "n", *names)
+    every = rows.mapInArrow(run, f"{SUMS}, doc_id {kind}")
+    if more is not None:
+        every = every.unionByName(more, allowMissingColumns=True)
+    names = ["shard", "kind", "a", "b", "blob", "doc_id"]
+    placed = every.repartition(model.shards, "shard").sortWithinPartitions("shard", "kind").select(*names)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    scored = by_row(shard_sums(placed, shared).repartition(tasks, "piece").sortWithinPartitions("piece"))
-    late = heads.select("row", F.explode(F.arrays_zip("words", "ns")).alias("w")).select("row", F.col("w.words").alias("key"), F.col("w.ns").alias("m"))
-    # A word that has no count was not in training.
-    log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.norm))
-    sums = (
-        late.join(counts, "key", "left")
-        .groupBy("row")
-        .agg(F.sum(F.col("m") * log).alias("late"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("late_known"))
-    )
-    zero = F.lit(0)
-    return heads.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base").join(sums, "row", "left").join(scored, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("late_known", zero)).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("late", zero)).alias("base_score"),
-        "score",
-    )
+    return by_text(shard_sums(placed, shared).repartition(tasks, "a").sortWithinPartitions("a", "kind"), kind, model.total)

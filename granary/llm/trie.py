@@ -4,15 +4,19 @@ Level n lists the n-grams in order of their contexts.  Per level there are two
 monotone sequences in Elias-Fano form: the pointers from each (n-1)-gram to
 its range of successors, and the successors' word ids, which are made monotone
 by adding to each the last value of the range before (so an id is the value
-relative to its context's base).  Probabilities are quantised to 8 or 16 bits per
-level by equally filled bins.  A lookup walks the levels by context: it takes
-the range from the pointers and finds the word by a successor search in it.
+relative to its context's base).  Probabilities are quantised to QUANTUM bits by
+equally filled bins in each level.  A lookup walks the levels by context: it
+takes the range from the pointers and finds the word by a successor search in
+it.  Where many grams are looked up at once, a level's sequences are read into
+plain arrays first; else only the values that the search touches are.
 
 All lookups are vectorised over many n-grams at once.
 """
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 
 #: Bits of a quantised probability.
@@ -39,12 +43,14 @@ class EliasFano:
             part = values & np.uint64((1 << bits) - 1)
             at = np.arange(n, dtype=np.uint64) * np.uint64(bits)
             word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            np.bitwise_or.at(low, word, part << off)
+            # Parts don't overlap, and each word has one that begins in it.
+            low[: word[-1] + 1] = np.bitwise_or.reduceat(part << off, np.flatnonzero(np.append(True, word[1:] != word[:-1])))
             over = off + np.uint64(bits) > np.uint64(64)
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - off[over]))
+            low[word[over] + 1] |= part[over] >> (np.uint64(64) - off[over])
         place = (values >> np.uint64(bits)) + np.arange(n, dtype=np.uint64)
-        high = np.zeros((int(place[-1]) >> 6) + 1 if n else 1, dtype=np.uint64)
-        np.bitwise_or.at(high, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+        marks = np.zeros(((int(place[-1]) >> 6) + 1 if n else 1) * 64, dtype=bool)
+        marks[place] = True
+        high = np.packbits(marks, bitorder="little").view(np.uint64)
         ones = np.bitwise_count(high).astype(np.int64)
         rank = (np.cumsum(ones) - ones).astype(np.uint32 if n < 1 << 32 else np.uint64)
         return cls(np.array([n, bits], dtype=np.uint64), low, high, rank)
@@ -65,6 +71,20 @@ class EliasFano:
         return value.astype(np.int64)
 
 
+    def all(self) -> np.ndarray:
+        """The whole sequence."""
+        place = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
+        value = (place - np.arange(self.n)).astype(np.int64) << self.bits
+        if self.bits:
+            at = np.arange(self.n, dtype=np.uint64) * np.uint64(self.bits)
+            w, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            part = self.low[w] >> off
+            over = off + np.uint64(self.bits) > np.uint64(64)
+            part[over] |= self.low[w[over] + 1] << (np.uint64(64) - off[over])
+            value |= (part & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        return value
+
+
 def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Place of the k-th set bit (from 0) in each word."""
     place = np.zeros(len(words), dtype=np.int64)
@@ -86,6 +106,7 @@ class Trie:
     def __init__(self, arrays: list[np.ndarray]):
         self.vocabulary = int(arrays[0][0])
         self.levels: list[tuple[EliasFano, EliasFano, EliasFano, tuple, tuple]] = []
+        self.decoded: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         rest = arrays[1:]
         while rest:
             pointers, ids, bases = (EliasFano(*rest[j : j + 4]) for j in (0, 4, 8))
@@ -118,31 +139,47 @@ class Trie:
                 arrays += quantised(x)
         return arrays
 
-    def find(self, grams: np.ndarray, n: int) -> np.ndarray:
-        """Places in level n of rows of n ids; -1 where there is none."""
-        at = np.zeros(len(grams), dtype=np.int64)
-        for j in range(n):
-            pointers, ids, bases, _, _ = self.levels[j]
-            ok = at >= 0
-            safe = np.where(ok, at, 0)
-            if not ids.n:
-                return np.full(len(grams), -1, dtype=np.int64)
-            lo, end = pointers.get(safe), pointers.get(safe + 1)
-            want = grams[:, j].astype(np.int64) + bases.get(safe)
+    def step(self, at: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        """Places in level n of the successors ``word`` of places in the level
+        above; -1 where there is none."""
+        pointers, ids, bases, _, _ = self.levels[n - 1]
+        out = np.full(len(at), -1, dtype=np.int64)
+        ok = np.flatnonzero(at >= 0)
+        if not ids.n or not len(ok):
+            return out
+        at, word = at[ok], word[ok].astype(np.int64)
+        if len(at) * 4 > ids.n:  # many at a time: the level is read once
+            start, base, values = self.read(n)
+            lo, end, want = start[at], start[at + 1], word + base[at]
+            # Values never fall, so the search may begin before the range.
+            lo = np.maximum(lo, np.searchsorted(values, want))
+        else:
+            lo, end, want = pointers.get(at), pointers.get(at + 1), word + bases.get(at)
             hi = end.copy()
             # The first value in the range that is not less than the one sought.
-            while True:
-                open_ = np.flatnonzero(lo < hi)
-                if not len(open_):
-                    break
+            while len(open_ := np.flatnonzero(lo < hi)):
                 mid = (lo[open_] + hi[open_]) // 2
                 less = ids.get(mid) < want[open_]
                 lo[open_] = np.where(less, mid + 1, lo[open_])
                 hi[open_] = np.where(less, hi[open_], mid)
-            inside = ok & (lo < end)
-            hit = np.zeros(len(grams), dtype=bool)
-            hit[inside] = ids.get(lo[inside]) == want[inside]
-            at = np.where(hit, lo, -1)
+            values = None
+        inside = np.flatnonzero(lo < end)
+        found = ids.get(lo[inside]) if values is None else values[lo[inside]]
+        hit = inside[found == want[inside]]
+        out[ok[hit]] = lo[hit]
+        return out
+
+    def read(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if n not in self.decoded:
+            pointers, ids, bases, _, _ = self.levels[n - 1]
+            self.decoded[n] = pointers.all(), bases.all(), ids.all()
+        return self.decoded[n]
+
+    def find(self, grams: np.ndarray, n: int) -> np.ndarray:
+        """Places in level n of rows of n ids; -1 where there is none."""
+        at = np.zeros(len(grams), dtype=np.int64)
+        for j in range(n):
+            at = self.step(at, grams[:, j], j + 1)
         return at
 
     def log_p(self, places: np.ndarray, n: int) -> np.ndarray:
@@ -157,15 +194,15 @@ class Trie:
         """Log of the probability of each row's last word after the others,
         by the longest stored context."""
         n = grams.shape[1]
-        at = self.find(grams, n)
+        context = self.find(grams[:, :-1], n - 1)
+        at = self.step(context, grams[:, -1], n)
         out = np.zeros(len(grams))
         out[at >= 0] = self.log_p(at[at >= 0], n)
         rest = np.flatnonzero(at < 0)
-        if len(rest):
-            context = self.find(grams[rest, :-1], n - 1)
+        if len(rest) and n > 1:
             out[rest] = self.score(grams[rest, 1:])
-            known = context >= 0
-            out[rest[known]] += self.backoff(context[known], n - 1)
+            known = rest[context[rest] >= 0]
+            out[known] += self.backoff(context[known], n - 1)
         return out
 
 
@@ -186,19 +223,20 @@ def _key(grams: np.ndarray, vocabulary: int) -> np.ndarray:
     return key
 
 
-def to_file(arrays: list[np.ndarray], path: str) -> None:
+def to_file(arrays: list[np.ndarray], path) -> None:
     """Flat: a count, then for each array its type, length and bytes, all in
     units of 8 bytes."""
     kinds = ["uint64", "uint32", "uint16", "float64", "int64"]
-    with open(path, "wb") as f:
+    with open(path, "wb") if isinstance(path, str) else contextlib.nullcontext(path) as f:
         f.write(np.array([len(arrays)], dtype="<u8").tobytes())
         for a in arrays:
             f.write(np.array([kinds.index(a.dtype.name), len(a)], dtype="<u8").tobytes())
             raw = a.tobytes()
             f.write(raw + bytes(-len(raw) % 8))
+        f.flush()
 
 
-def open_file(path: str) -> Trie:
+def open_file(path) -> Trie:
     """The trie over a memory map: pages are read when lookups touch them and
     shared by all workers of a machine."""
     kinds = ["uint64", "uint32", "uint16", "float64", "int64"]

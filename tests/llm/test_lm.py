@@ -19,9 +19,7 @@ def brute(rows):
     training = [tokens(t) for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
     c = Counter(x for t in training for x in t)
     total, norm = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
-    named = {w for w in c if w != "</s>"} if len(c) <= lm.N_WORDS - 2 else None
-    assert named is not None, "ties at the vocabulary's edge would make the model ambiguous"
-    cls = lambda w: w if w in named or w == "</s>" else "<other>"
+    cls = lambda w: w if c[w] else "<other>"
     tri = Counter()
     for t in training:
         x = ["</s>", "</s>", *map(cls, t)]
@@ -35,16 +33,15 @@ def brute(rows):
         uni[w] += n
         c2[b] += n
         k2[b] += 1
-    one = lambda w: (uni[w] + 0.5) / (total + 0.5 * lm.N_WORDS)
+    one = lambda w: (uni[w] + 0.5) / norm
     two = lambda b, w: (bi[b, w] + k2[b] * one(w)) / (c2[b] + k2[b]) if c2[b] else one(w)
     three = lambda a, b, w: (tri[a, b, w] + k3[a, b] * two(b, w)) / (c3[a, b] + k3[a, b]) if c3[a, b] else two(b, w)
-    other = max(norm - sum(c[w] + 0.5 for w in named) - (c["</s>"] + 0.5), 0.5) / norm
     out = []
     for d, t in rows:
         own = tokens(t)
         x = ["</s>", "</s>", *map(cls, own)]
         base = sum(math.log10((c[w] + 0.5) / norm) for w in own)
-        score = sum(math.log10(three(*x[i : i + 3])) for i in range(len(own))) + sum(math.log10((c[w] + 0.5) / norm / other) for w in own if cls(w) == "<other>")
+        score = sum(math.log10(three(*x[i : i + 3])) for i in range(len(own)))
         out.append((d, d is not None and zlib.crc32(str(d).encode()) % 5 == 1, len(own), sum(c[w] > 0 for w in own), total, base, score))
     return out
 
@@ -95,9 +92,11 @@ def test_trie_round_trip(tmp_path):
 
 @pytest.mark.parametrize("shard", [1 << 20, 40])
 def test_whole_vocabulary(spark, docs_table, monkeypatch, shard):
-    """More words than any closed vocabulary of N_WORDS; frequent words in several shards."""
+    """More words than the table holds; frequent words in several shards, texts in several pieces."""
     monkeypatch.setattr(lm, "SHARD", shard, raising=False)
     monkeypatch.setattr(lm, "FREQUENT", 200)
+    monkeypatch.setattr(lm, "PIECE", 100)
+    monkeypatch.setattr(lm, "PER_SHARD", 1)
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, 25), 600))) for i in range(150)]
     rows += [(i + 1000, t) for i, t in rows[:40]] + [(5000, None), (None, "w1 w2")]
@@ -109,7 +108,7 @@ def test_whole_vocabulary(spark, docs_table, monkeypatch, shard):
             tri.update(zip(x, x[1:], x[2:]))
             bi.update(zip(x[1:], x[2:]))
             uni.update(x[2:])
-    assert len(uni) > lm.N_WORDS + 100
+    assert len(uni) > 228
     c3, k3, c2, k2 = Counter(), Counter(), Counter(), Counter()
     for (a, b, w), n in tri.items():
         c3[a, b] += n

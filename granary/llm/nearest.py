@@ -38,6 +38,8 @@ TABLES, HASHES, MASS, SEED = 4, 6, 0.55, 77
 #: Width of a cell and the distance at which neighbours are expected, in units
 #: of the largest norm.
 WIDTH, EXPECTED = 2.0, 1.25
+#: Relative difference that rounding may make in an inner product.
+ROUNDING = 1e-12
 #: Index entries that a task holds on average; tasks for a small index.
 BLOCK, LEAST_TASKS = 20_000, 16
 
@@ -101,39 +103,61 @@ def lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, np.concatenate(rows) if rows else np.zeros(0, np.int64))
 
 
-def best(entries: list[tuple[list[int], np.ndarray]], vectors: np.ndarray, starts: dict[int, tuple[int, int]], queries: list[tuple], k: int) -> Iterator[tuple]:
-    """(query number, vec_id, score): up to k rows for each query among the
-    entries of its buckets."""
+class Entries:
+    """Index entries: a vector, its name and the vec_ids that have it."""
+
+    def __init__(self, names: np.ndarray, ids: list[list[int]], points: np.ndarray):
+        self.names, self.points = names, points
+        self.sizes = np.array([len(i) for i in ids], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.array([i for own in ids for i in own], dtype=np.int64)
+        self.norm = np.sqrt((points**2).sum(axis=1).max(initial=0))
+
+
+def best(held: Entries, spans: dict[int, tuple[int, int]], queries: list[tuple[np.ndarray, list[int]]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, vec_id, score): the k best vec_ids for each query among
+    the entries of its buckets, ties to the smaller vec_id."""
     asked: dict[int, list[int]] = {}
     for q, (_, buckets) in enumerate(queries):
         for b in buckets:
-            if b in starts:
+            if b in spans:
                 asked.setdefault(b, []).append(q)
     points = np.stack([v for v, _ in queries])
-    who, row, score = [], [], []
-    spare = k + 4  # a few more than k, for scores that differ by rounding only
+    slack = ROUNDING * np.sqrt((points**2).sum(axis=1)) * held.norm
+    who, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for b, qs in asked.items():
-        lo, hi = starts[b]
-        s = points[qs] @ vectors[lo:hi].T
-        if hi - lo > spare:
-            top = np.argpartition(-s, spare, axis=1)[:, :spare]
-        else:
-            top = np.broadcast_to(np.arange(hi - lo), s.shape)
-        who.append(np.repeat(qs, top.shape[1]))
-        row.append((top + lo).ravel())
-        score.append(np.take_along_axis(s, top, axis=1).ravel())
-    if not who:
-        return
-    who, row, score = np.concatenate(who), np.concatenate(row), np.concatenate(score)
-    order = np.lexsort((-score, who))
+        lo, hi = spans[b]
+        s = points[qs] @ held.points[lo:hi].T
+        # All that reach the k-th score, or miss it by no more than rounding.
+        floor = np.partition(s, hi - lo - k, axis=1)[:, hi - lo - k] - slack[qs] if hi - lo > k else np.full(len(qs), -np.inf)
+        q, r = np.nonzero(s >= floor[:, None])
+        who.append(np.array(qs)[q])
+        row.append(r + lo)
+    who, row = np.concatenate(who), np.concatenate(row)
+    # Several tables may have found an entry.
+    order = np.lexsort((held.names[row], who))
     who, row = who[order], row[order]
-    place = np.arange(len(who)) - np.searchsorted(who, who)
-    who, row = who[place < spare], row[place < spare]
-    exact = (vectors[row] * points[who]).sum(axis=1)
-    for q, own in itertools.groupby(zip(who.tolist(), exact.tolist(), row.tolist()), key=lambda x: x[0]):
-        rows = sorted((-s, i) for s, i in {(s, i) for _, s, r in own for i in entries[r][0]})
-        for s, i in rows[:k]:
-            yield q, i, -s
+    new = np.append(True, (who[1:] != who[:-1]) | (held.names[row][1:] != held.names[row][:-1]))[: len(who)]
+    who, row = who[new], row[new]
+    score = (held.points[row] * points[who]).sum(axis=1)
+    order = np.lexsort((-score, who))
+    who, row, score = who[order], row[order], score[order]
+    begin = np.searchsorted(who, who)
+    last = np.minimum(begin + k, np.searchsorted(who, who, side="right")) - 1
+    reach = score >= score[last]
+    who, row, score = who[reach], row[reach], score[reach]
+    # From entries to vec_ids; one that has several vectors keeps its best score.
+    many = held.sizes[row]
+    at = np.repeat(held.first[row] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    who, score, ids = np.repeat(who, many), np.repeat(score, many), held.ids[at]
+    order = np.lexsort((-score, ids, who))
+    who, score, ids = who[order], score[order], ids[order]
+    new = np.append(True, (who[1:] != who[:-1]) | (ids[1:] != ids[:-1]))[: len(who)]
+    who, score, ids = who[new], score[new], ids[new]
+    order = np.lexsort((ids, -score, who))
+    who, score, ids = who[order], score[order], ids[order]
+    kept = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[kept], ids[kept], score[kept]
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
@@ -177,14 +201,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     # By the index's size only: with more tasks each query would bring back more lists of k.
     tasks = max(LEAST_TASKS, -(-total * TABLES // BLOCK))
     index = entries.select("embedding", "ids").mapInArrow(to_buckets, f"embedding {kind}, ids array<long>, buckets array<long>")
-    index = index.select("embedding", "ids", F.explode("buckets").alias("bucket"))
+    index = index.select("embedding", "ids", F.xxhash64("embedding").alias("name"), F.explode("buckets").alias("bucket"))
     hot = index.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
     hot = scratch.save(hot, "hot")
     slot = F.pmod(F.xxhash64("bucket", "part"), F.lit(tasks)).cast("int").alias("slot")
     dealt = (
         index.join(hot, "bucket", "left")
         .withColumn("part", F.coalesce(F.pmod(F.xxhash64("embedding"), F.col("parts")), F.lit(0)).cast("int"))
-        .select(slot, "bucket", "ids", "embedding")
+        .select(slot, "bucket", "name", "ids", "embedding")
     )
     keys = (F.xxhash64("embedding").alias("k1"), F.xxhash64("embedding", F.lit(SEED)).alias("k2"))
     queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", *keys)
@@ -200,7 +224,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     def rank_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per partition: index entries come first, then queries."""
-        buckets, ids, points = [], [], []
+        buckets, names, ids, points = [], [], [], []
         ready: tuple | None = None
         for batch in batches:
             flags = batch.column(1).to_numpy(zero_copy_only=False)
@@ -208,37 +232,36 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             if n:
                 part = batch.slice(0, n)
                 buckets.append(part.column(2).to_numpy(zero_copy_only=False))
+                names.append(part.column(8).to_numpy(zero_copy_only=False))
                 ids += part.column(3).to_pylist()
                 points.append(matrix(part.column(4)))
             if n < batch.num_rows and buckets:
                 if ready is None:
-                    code = np.concatenate(buckets)
+                    code = np.concatenate(buckets).astype(np.int64)
                     order = np.argsort(code, kind="stable")
-                    code, held = code[order], np.concatenate(points)[order]
-                    names, first = np.unique(code, return_index=True)
-                    ready = [(ids[i], None) for i in order.tolist()], held, dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(code)])))
+                    code = code[order]
+                    own, first = np.unique(code, return_index=True)
+                    held = Entries(np.concatenate(names).astype(np.int64)[order], [ids[i] for i in order.tolist()], np.concatenate(points)[order])
+                    ready = held, dict(zip(own.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(code)])))
                 part = batch.slice(n)
                 for a in range(0, part.num_rows, 512):
                     some = part.slice(a, 512)
-                    asked = list(zip(matrix(some.column(4)), some.column(7).to_pylist()))
-                    found = list(best(*ready, asked, k + 1))
-                    q = np.array([x[0] for x in found], dtype=np.int64)
+                    q, found, score = best(*ready, list(zip(matrix(some.column(4)), some.column(7).to_pylist())), k + 1)
                     yield pa.RecordBatch.from_arrays(
-                        [some.column(5).take(pa.array(q)), some.column(6).take(pa.array(q)), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64())],
-                        names=["k1", "k2", "vec_id", "score"],
+                        [some.column(5).take(pa.array(q)), some.column(6).take(pa.array(q)), pa.array(found), pa.array(score)], names=["k1", "k2", "vec_id", "score"]
                     )
 
     null = F.lit(None).cast
-    both = dealt.select("slot", F.lit(0).alias("kind"), "bucket", "ids", "embedding", null("long").alias("k1"), null("long").alias("k2"), null("array<long>").alias("buckets")).unionByName(
-        visits.select("slot", F.lit(1).alias("kind"), null("long").alias("bucket"), null("array<long>").alias("ids"), "embedding", "k1", "k2", "buckets")
+    both = dealt.select("slot", F.lit(0).alias("kind"), "bucket", "ids", "embedding", null("long").alias("k1"), null("long").alias("k2"), null("array<long>").alias("buckets"), "name").unionByName(
+        visits.select("slot", F.lit(1).alias("kind"), null("long").alias("bucket"), null("array<long>").alias("ids"), "embedding", "k1", "k2", "buckets", null("long").alias("name"))
     )
     found = both.repartition(tasks, "slot").sortWithinPartitions("kind").mapInArrow(rank_slots, out_schema)
-    merged = top(found.dropDuplicates(["k1", "k2", "vec_id"]), k + 1)
+    merged = top(found, k + 1)
     merged = scratch.save(merged, "found")
     few = asked.join(merged.groupBy("k1", "k2").count().where(F.col("count") > min(k, n_ids - 1)), ["k1", "k2"], "left_anti")
-    full = scratch.save(whole(entries, few, k), "whole")
-    if full.limit(1).count():
-        merged = top(merged.unionByName(full).dropDuplicates(["k1", "k2", "vec_id"]), k + 1)
+    full = whole(entries, few, k, scratch)
+    if full is not None:
+        merged = top(merged.unionByName(full), k + 1)
     own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         merged.select("k1", "k2", "vec_id", "score")
@@ -251,32 +274,35 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
 
 def top(found: DataFrame, n: int) -> DataFrame:
+    """The n best vec_ids of each query, each by its best score."""
     order = W.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    each = found.groupBy("k1", "k2", "vec_id").agg(F.max("score").alias("score"))
+    return each.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
-def whole(entries: DataFrame, few: DataFrame, k: int, block: int = 1024) -> DataFrame:
+def whole(entries: DataFrame, few: DataFrame, k: int, scratch: Scratch, block: int = 1024) -> DataFrame | None:
     """Queries whose buckets held too few entries, against all entries: the
-    queries go around in blocks of fixed size."""
+    queries go around in blocks of fixed size, each block's result is written."""
     spark = entries.sparkSession
-    out = spark.createDataFrame([], "k1 long, k2 long, vec_id long, score double")
-    n = few.count()
-    blocks = -(-n // block)
+    few = scratch.save(few, "few")
+    blocks = -(-few.count() // block)
+    out = None
     for b in range(blocks):
         some = few.where(F.pmod("k1", F.lit(blocks)) == b).collect()  # about ``block`` queries
+        if not some:
+            continue
         shared = spark.sparkContext.broadcast([(r["k1"], r["k2"], np.array(r["embedding"], dtype=np.float64)) for r in some])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
+            k1, k2 = (np.array([o[j] for o in own], dtype=np.int64) for j in range(2))
             for batch in batches:
-                if not own or not batch.num_rows:
-                    continue
-                held, ids = matrix(batch.column(0)), [(i, None) for i in batch.column(1).to_pylist()]
-                found = list(best(ids, held, {0: (0, len(ids))}, [(v, [0]) for _, _, v in own], k + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([own[q][0] for q, _, _ in found], pa.int64()), pa.array([own[q][1] for q, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())],
-                    names=["k1", "k2", "vec_id", "score"],
-                )
-
-        out = out.unionByName(entries.select("embedding", "ids").mapInArrow(run, "k1 long, k2 long, vec_id long, score double"))
+                if batch.num_rows:
+                    held = Entries(batch.column(2).to_numpy(), batch.column(1).to_pylist(), matrix(batch.column(0)))
+                    q, found, score = best(held, {0: (0, batch.num_rows)}, [(v, [0]) for _, _, v in own], k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[q]), pa.array(k2[q]), pa.array(found), pa.array(score)], names=["k1", "k2", "vec_id", "score"])
+
+        rows = entries.select("embedding", "ids", F.xxhash64("embedding").alias("name")).mapInArrow(run, "k1 long, k2 long, vec_id long, score double")
+        out = scratch.save(rows, "whole", append=True)
+        shared.destroy()
     return out

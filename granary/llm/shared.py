@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, named by spark.checkpoint.dir.
 
-    Only where that setting is absent (a local test session) is a folder made.
+    A session with all executors in the driver's process may do without; for it
+    a folder is made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_granary_root", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_granary_root", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
         root = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark._granary_root = root
     return root
@@ -42,8 +44,8 @@ class Scratch:
         self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.deleteOnExit(self.path)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+    def save(self, df: DataFrame, name: str, append: bool = False) -> DataFrame:
+        df.write.mode("append" if append else "error").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str = "") -> None:

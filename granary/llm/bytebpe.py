@@ -21,11 +21,11 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from granary.llm.shared import parts
 
@@ -159,38 +159,52 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-NEW = "n_tokens long, ids binary, char_starts binary, n_split long"
+#: What encoding can give, with its types.
+RESULTS = {"n_tokens": "long", "ids": "binary", "char_starts": "binary", "n_split": "long", "decoded": "binary", "round_trip": "boolean", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", back: str | None = None) -> DataFrame:
-    """``docs`` with n_tokens, ids, char_starts (packed alike) and n_split, the
-    number of tokens that begin inside a character.  With ``back``, the ids are
-    decoded in the same pass, into a column of that name."""
+def results(own: "Codec", texts: list[str], give: tuple[str, ...]) -> list[pa.Array]:
+    """The columns named in ``give`` for some texts; nothing else is made."""
+    ids = own.encode(texts)
+    wanted, made = set(give), {"ids": ids}
+    if "n_tokens" in wanted:
+        made["n_tokens"] = [len(i) // 4 for i in ids]
+    if wanted & {"char_starts", "n_split"}:
+        starts, made["n_split"] = own.starts(texts, ids)
+        made["char_starts"] = [s.tobytes() for s in starts]
+    if wanted & {"decoded", "round_trip", "decoded_sha256"}:
+        back = made["decoded"] = [own.decode(np.frombuffer(i, dtype="<u4")) for i in ids]
+        made["round_trip"] = [d == t.encode() for d, t in zip(back, texts)]
+        made["decoded_sha256"] = [sha256(d).hexdigest() for d in back]
+    if "ids_sha256" in wanted:
+        made["ids_sha256"] = [sha256(i).hexdigest() for i in ids]
+    return [pa.array(made[g], TYPES[RESULTS[g]]) for g in give]
+
+
+TYPES = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def encode(
+    docs: DataFrame, path: str | None = None, text: str = "text", give: tuple[str, ...] = ("n_tokens", "ids", "char_starts", "n_split"), names: dict[str, str] | None = None
+) -> DataFrame:
+    """``docs`` with the results named in ``give``: n_tokens, ids, char_starts
+    (packed alike), n_split (tokens that begin inside a character), decoded (the
+    ids' bytes, made in the same pass), round_trip (whether those are the
+    text's) and digests of ids and decoded bytes.  ``names`` gives results other
+    column names."""
     path = path or default_vocabulary()
-    new = NEW + (f", {back} binary" if back else "")
-    names = [x.split()[0] for x in new.split(", ")]
-    kept = docs.drop(*[n for n in names if n in docs.columns and n != text])
+    named = [(names or {}).get(g, g) for g in give]
+    kept = docs.drop(*[n for n in named if n in docs.columns and n != text])
     at = kept.columns.index(text)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    new = ", ".join(f"`{n}` {RESULTS[g]}" for n, g in zip(named, give))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in parts(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in chunks(texts):
-                some = own.encode(texts[a:b])
-                starts, inside = own.starts(texts[a:b], some)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.slice(a, b - a).columns,
-                        pa.array([len(i) // 4 for i in some], pa.int64()),
-                        pa.array(some, pa.binary()),
-                        pa.array([s.tobytes() for s in starts], pa.binary()),
-                        pa.array(inside, pa.int64()),
-                        *([pa.array([own.decode(np.frombuffer(i, dtype="<u4")) for i in some], pa.binary())] if back else []),
-                    ],
-                    names=[*batch.schema.names, *names],
-                )
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *results(own, texts[a:b], give)], names=[*batch.schema.names, *named])
 
     return kept.mapInArrow(run, f"{fields}, {new}")
 
@@ -216,12 +230,17 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", to: st
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The round trip's digests for each document."""
-    back = encode(docs.select("doc_id", "text"), path, back="decoded")
-    return back.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        "n_split",
-    )
+    """The round trip's digests for each document, made in the worker, so
+    neither texts nor ids go back to the JVM."""
+    path = path or default_vocabulary()
+    give = ("n_tokens", "ids_sha256", "decoded_sha256", "n_split")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in parts(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in chunks(texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *results(own, texts[a:b], give)], names=["doc_id", *give])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{g} {RESULTS[g]}" for g in give))

@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before kept; all but the last return the columns of ``documents``.
+
+Defined results: a null, empty or letterless text has no language, so the first
+stage drops it; a row without doc_id is an ordinary document, but among near
+copies it stays only where none has one; of rows that repeat, one stays; texts of any length are treated whole;
+columns that have the stages' own names are kept as they are; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import bytebpe, decontaminate, langid, neardup, secrets
-from granary.llm.shared import Scratch, docs_of
+from granary.llm.shared import Scratch, docs_of, fresh
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +44,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds n_tokens, the packed ids and whether they decode to the text."""
-    encoded = bytebpe.encode(docs, back="decoded")
-    whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return encoded.withColumn("round_trip", whole).drop("decoded", "char_starts", "n_split")
+    """Adds n_tokens, the packed ids and whether they decode to the text; a
+    column of ``docs`` with such a name stays, and the result's gets a longer one."""
+    give = ("n_tokens", "ids", "round_trip")
+    return bytebpe.encode(docs, give=give, names={g: fresh(g, docs) for g in give})
 
 
 STAGES = [

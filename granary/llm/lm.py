@@ -42,13 +42,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import trie
-from granary.llm.hashing import mix, words
+from granary.llm.hashing import distinct, mix, words
 from granary.llm.shared import Scratch, parts, text_of
 
 #: Words of the table that all workers hold, at most (16 bytes each).
 FREQUENT = 1 << 20
 #: Tokens of a shard, on average; tokens of a piece, at least and at most, and for each shard.
-SHARD, PIECE, LARGEST_PIECE, PER_SHARD = 1 << 20, 1 << 18, 1 << 21, 256
+SHARD, PIECE, LARGEST_PIECE, PER_SHARD = 1 << 19, 1 << 18, 1 << 21, 256
 #: Characters hashed at a time; distinct keys that a task sums before it sends.
 CHUNK, HELD = 1 << 18, 1 << 19
 #: The hash that stands for the end token; no word has it but by accident.
@@ -185,14 +185,18 @@ def hashes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found, np.diff(bounds)
 
 
-def windows(values: np.ndarray, size: np.ndarray, end) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token, text by text and with the end token last, the values two
-    and one before it, where texts begin with ends, and its own."""
+def line_of(values: np.ndarray, size: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' words in a line, two ends before each text and one after it;
+    and the places of all tokens, the last end of each text among them."""
     n = len(size)
     line = np.full(len(values) + 3 * n, end, dtype=values.dtype)
-    line[np.repeat(3 * np.arange(n) + 2, size) + np.arange(len(values))] = values
-    at = np.arange(len(values) + n) + 2 * (np.repeat(np.arange(n), size + 1) + 1)
-    return line[at - 2], line[at - 1], line[at]
+    token = np.ones(len(line), dtype=bool)
+    start = np.cumsum(size + 3) - size - 3
+    token[start] = token[start + 1] = False
+    word = token.copy()
+    word[start + size + 2] = False
+    line[word] = values
+    return line, np.flatnonzero(token)
 
 
 class Model:
@@ -219,12 +223,15 @@ class Model:
         at = np.minimum(np.searchsorted(self.hot, middle), len(self.hot) - 1)
         return at, self.hot[at] == middle
 
-    def shard(self, before: np.ndarray, middle: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of the hashes of the two words before a token and the middle one's place."""
-        turn = np.zeros(len(middle), dtype=np.uint64)
-        at, hot = self.hot_place(place)
-        turn[hot] = mix(before[hot]) % self.split[at[hot]].astype(np.uint64)
-        return self.deal(middle, turn)
+    def shard(self, line: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of tokens at some places in a line of hashes, by the word before each;
+        where that is hot, by the one before it too."""
+        out = self.deal(line[at - 1], np.uint64(0))
+        i, hot = self.hot_place(place[at - 1])
+        if hot.any():
+            own = at[hot]
+            out[hot] = self.deal(line[own - 1], mix(line[own - 2]) % self.split[i[hot]].astype(np.uint64))
+        return out
 
     def shards_of(self, i: int) -> list[int]:
         """All shards of the i-th hot word."""
@@ -246,40 +253,58 @@ class Model:
         out["base"] = np.bincount(owner[found], weights=self.logs[place[found]], minlength=n) + self.logs[self.end]
         return out
 
+    @cached_property
+    def by_rank(self) -> np.ndarray:
+        """Places in the table, the most frequent word's first."""
+        return np.argsort(-self.table.counts, kind="stable").astype(np.int32)
+
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """Ranks of the table's places, and the number that stands for a word it lacks."""
+        out = np.empty(len(self.table) + 1, dtype=np.int32)
+        out[self.by_rank] = np.arange(len(self.table))
+        out[-1] = len(self.table)
+        return out
+
     def pieces(self, found: np.ndarray, place: np.ndarray, size: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(shard, packed tokens) of some texts; tokens keep their texts' order."""
-        rare = np.int32(len(self.table))
-        a, b, c = windows(np.where(place >= 0, place, rare), size, self.end)
-        before, middle, last = windows(found, size, END_HASH.view(np.uint64))
-        text = np.repeat(np.arange(len(size)) * 2 + held, size + 1)
-        shard = self.shard(before, middle, b)
+        """(shard, packed tokens) of some texts; tokens keep their texts' order.
+        Frequent words travel as their ranks, byte by byte, the others whole."""
+        lost = np.int32(len(self.table))
+        line, at = line_of(found, size, END_HASH.view(np.uint64))
+        code, _ = line_of(self.rank[place], size, self.rank[self.end])  # place -1 is the last
+        middle, _ = line_of(place, size, np.int32(self.end))
+        shard = self.shard(line, middle, at)
         order = np.argsort(shard.astype(np.uint16) if self.shards <= 1 << 16 else shard, kind="stable")
-        shard, text = shard[order], text[order]
-        step = np.diff(text, prepend=0)
+        shard, at = shard[order], at[order]
+        text = np.repeat((np.arange(len(size)) * 2 + held).astype(np.int32), size + 1)[order]
+        step = np.diff(text, prepend=np.int32(0))
         edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
         step[edge] = text[edge]
-        rows = np.concatenate([planes(x[order])[:3] for x in (a, b, c)] + [planes(step)])
-        lost = np.stack([a, b, c], axis=1)[order] == rare
-        rest = np.stack([before, middle, last], axis=1)[order][lost]
-        upto = np.append(0, np.cumsum(lost.sum(axis=1)))
+        columns = [code[at - 2], code[at - 1], code[at]]
+        rows = np.concatenate([planes(x)[:3] for x in columns] + [planes(step)])
+        rest = np.concatenate([3 * np.flatnonzero(x == lost) + j for j, x in enumerate(columns)])
+        rest.sort()
+        upto = np.searchsorted(rest, 3 * np.append(edge, len(shard))).tolist()
+        rest = line[at[rest // 3] - 2 + rest % 3]
         pack = zstandard.ZstdCompressor(level=1).compress
-        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(shard)]):
+        edge = [*edge.tolist(), len(shard)]
+        for i, (lo, hi) in enumerate(zip(edge, edge[1:])):
             raw = pack(rows[:, lo:hi].tobytes())
-            yield int(shard[lo]), len(raw).to_bytes(4, "little") + raw + rest[upto[lo] : upto[hi]].tobytes()
+            yield int(shard[lo]), len(raw).to_bytes(4, "little") + raw + rest[upto[i] : upto[i + 1]].tobytes()
 
     def tokens(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(places as rows of three, hashes of words that have none, texts, blob) from packed tokens."""
         unpack = zstandard.ZstdDecompressor().decompress
-        rows, rest, text = [], [], []
+        grams, rest, text = [], [], []
+        by_rank = np.append(self.by_rank, np.int32(len(self.table)))
         for blob in blobs:
             n = 4 + int.from_bytes(blob[:4], "little")
             own = np.frombuffer(unpack(blob[4:n]), np.uint8).reshape(13, -1)
-            rows.append(own[:9])
-            text.append(np.cumsum(numbers(own[9:])))
+            low, middle, high = (own[j:9:3].T.astype(np.int32) for j in range(3))
+            grams.append(by_rank[low | middle << 8 | high << 16])
+            text.append(np.cumsum(numbers(own[9:]), dtype=np.int32))
             rest.append(np.frombuffer(blob[n:], np.uint64))
-        raw = np.concatenate(rows, axis=1).astype(np.int32)
-        grams = np.stack([raw[j] | raw[j + 1] << 8 | raw[j + 2] << 16 for j in (0, 3, 6)], axis=1)
-        return grams, np.concatenate(rest), np.concatenate(text), np.repeat(np.arange(len(blobs)), [len(t) for t in text])
+        return np.concatenate(grams), np.concatenate(rest), np.concatenate(text), np.repeat(np.arange(len(blobs), dtype=np.int32), [len(t) for t in text])
 
     def scores(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, place: np.ndarray, hashes: np.ndarray, count: np.ndarray, pairs: tuple) -> np.ndarray:
         """Log probabilities of different grams, in order, by the shard's trie,
@@ -307,39 +332,39 @@ class Model:
             two_n[mine] = np.where(key[where] == wanted, total[where], 0) if len(key) else 0
         # Level 2: those bigrams that occur, and the contexts of trigrams.
         own = n > 0
-        a3, b3, c3, n3 = a[own].astype(np.int64), b[own].astype(np.int64), c[own].astype(np.int64), n[own]
-        context = a3 * v + b3
+        n3 = n[own]
+        context = a[own].astype(np.int64) * v + b[own]
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(context)])
         context_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
         context = context[first]
         total3 = np.bincount(context_of, weights=n3, minlength=len(first))
         kinds3 = np.bincount(context_of, minlength=len(first)).astype(np.float64)
-        level = np.union1d(asked[two_n > 0], context)
-        at = np.searchsorted(asked, level)
-        at[at == len(asked)] = 0
-        level_n = np.where(asked[at] == level, two_n[at], 0) if len(asked) else np.zeros(len(level))
+        level = distinct(np.concatenate([asked[two_n > 0], context]))
+        level_n, of_asked = np.zeros(len(level)), np.minimum(np.searchsorted(level, asked), max(len(level) - 1, 0))
+        there = two_n > 0
+        level_n[of_asked[there]] = two_n[there]
         x, y = level // v, level % v
         some = c2[x] + k2[x]
         two = np.where(some > 0, (level_n + k2[x] * one[y]) / np.maximum(some, 1), one[y])
         back2 = np.zeros(len(level))
         back2[np.searchsorted(level, context)] = np.log10(kinds3 / (total3 + kinds3))
         back1 = np.where(c2 > 0, np.log10(np.maximum(k2, 1) / np.maximum(c2 + k2, 1)), 0.0)
-        below = two[np.searchsorted(level, asked)[inverse[own]]] if len(level) else np.zeros(0)
+        below = two[of_asked[inverse[own]]] if len(level) else np.zeros(0)
         three = (n3 + kinds3[context_of] * below) / (total3 + kinds3)[context_of]
         levels = [
             (np.arange(v)[:, None], np.log10(one), back1),
-            (np.stack([x, y], axis=1), np.log10(two), back2),
-            (np.stack([a3, b3, c3], axis=1), np.log10(three), np.zeros(0)),
+            (np.stack([x, y], axis=1).astype(np.int32), np.log10(two), back2),
+            (np.stack([a[own], b[own], c[own]], axis=1), np.log10(three), np.zeros(0)),
         ]
+        del x, y, two, back2, three, below, inverse, asked, two_n
         with os.fdopen(os.memfd_create("trie"), "w+b") as f:
             trie.to_file(trie.Trie.build(levels, v), f)
             mapped = trie.open_file(f)
-            grams = np.stack([a, b, c], axis=1)
-            return np.concatenate([np.zeros(0), *[mapped.score(grams[i : i + BLOCK]) for i in range(0, len(grams), BLOCK)]])
+            return np.concatenate([np.zeros(0), *[mapped.score(np.stack([x[i : i + BLOCK] for x in (a, b, c)], axis=1)) for i in range(0, len(a), BLOCK)]])
 
 
-#: Grams that are looked up at a time.
-BLOCK = 1 << 18
+#: Grams that are looked up at a time; unit in which a text's sums travel.
+BLOCK, STEP = 1 << 18, 2.0**-12
 HEAD = np.dtype([("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("held", "?")])
 SUMS = "shard long, kind int, a long, b long, blob binary"
 #: Kinds of rows that go to the shards.
@@ -381,17 +406,16 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame | None]:
             some = batch.column(0).to_pylist()
             for x, y in chunks(some):
                 found, size = hashes_of(some[x:y])
-                place = own.table.find(found)
-                _, b, c = windows(place, size, own.end)
-                before, middle, last = windows(found, size, END_HASH.view(np.uint64))
-                at, hot = own.hot_place(b)
+                line, at = line_of(found, size, END_HASH.view(np.uint64))
+                place, _ = line_of(own.table.find(found), size, np.int32(own.end))
+                i, hot = own.hot_place(place[at - 1])
                 hot &= np.repeat(batch.column(1).slice(x, y - x).to_numpy(zero_copy_only=False), size + 1)
-                held.add(own.pair_keys(at[hot], last[hot]))
+                held.add(own.pair_keys(i[hot], line[at[hot]]))
                 if held.full():
                     yield taken()
-                late = c < 0
-                if late.any():
-                    shard, key = own.shard(before[late], middle[late], b[late]), last[late].view(np.int64)
+                late = at[place[at] < 0]
+                if len(late):
+                    shard, key = own.shard(line, place, late), line[late].view(np.int64)
                     order = np.lexsort((key, shard))
                     shard, key = shard[order], key[order]
                     new = np.append(True, (shard[1:] != shard[:-1]) | (key[1:] != key[:-1]))
@@ -444,6 +468,7 @@ def shard_sums(rows: DataFrame, shared) -> DataFrame:
         names, which = np.unique(rest, return_inverse=True)
         rare = len(own.table)
         grams[grams == rare] += which.astype(np.int32)
+        del rest, which
         # Numbers of the words that occur here.
         present = np.zeros(rare + len(names), dtype=bool)
         present[grams.ravel()] = True
@@ -462,18 +487,20 @@ def shard_sums(rows: DataFrame, shared) -> DataFrame:
             at = np.minimum(np.searchsorted(late[0], wanted), len(late[0]) - 1)
             count[~known] = np.maximum(count[~known], np.where(late[0][at] == wanted, late[1][at], 0))
         order, new = ranks([grams[:, 0], grams[:, 1], grams[:, 2]], len(code))
-        a, b, c = (grams[:, j][order[new]] for j in range(3))
+        a, b, c = grams[order[new]].T
+        middle = grams[:, 1].copy()
+        del grams
         n = np.add.reduceat(trained[order].astype(np.int64), np.flatnonzero(new))
         each = own.scores(a, b, c, n, place, hashes, count, pairs)
         log = np.empty(len(order))
         log[order] = each[np.cumsum(new) - 1]
         # Sums by text of each piece.
-        lost = ~known[grams[:, 1]]
+        lost = ~known[middle]
         first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (blob[1:] != blob[:-1])))
         sums, of = np.add.reduceat(log, first), text[first] >> 1
         lost_n = np.add.reduceat(lost.astype(np.int64), first)
-        base = np.add.reduceat(np.where(lost, np.log10((count + 0.5) / own.norm)[grams[:, 1]], 0.0), first)
-        seen = np.add.reduceat((lost & (count > 0)[grams[:, 1]]).astype(np.int64), first)
+        base = np.add.reduceat(np.where(lost, np.log10((count + 0.5) / own.norm)[middle], 0.0), first)
+        seen = np.add.reduceat((lost & (count > 0)[middle]).astype(np.int64), first)
         edge = np.searchsorted(blob[first], np.arange(len(held) + 1))
         for i, (piece, _) in enumerate(held):
             x, y = edge[i], edge[i + 1]
@@ -490,17 +517,19 @@ def sorted_table(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 
 def pack_sums(of: np.ndarray, score: np.ndarray, lost: np.ndarray, seen: np.ndarray, base: np.ndarray) -> bytes:
-    head = zstandard.ZstdCompressor(level=1).compress(np.concatenate([planes(x) for x in (np.diff(of, prepend=0), lost, seen)]).tobytes())
-    return len(head).to_bytes(4, "little") + head + score.astype("<f4").tobytes() + base[lost > 0].astype("<f8").tobytes()
+    """Scores in steps of STEP, everything byte by byte; base scores whole."""
+    steps = np.rint(score / STEP)
+    head = zstandard.ZstdCompressor(level=1).compress(np.concatenate([planes(x) for x in (np.diff(of, prepend=0), lost, seen, steps)]).tobytes())
+    return len(head).to_bytes(4, "little") + head + base[lost > 0].astype("<f8").tobytes()
 
 
 def unpack_sums(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = 4 + int.from_bytes(raw[:4], "little")
-    head = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4:n]), np.uint8).reshape(12, -1)
-    of, lost, seen = np.cumsum(numbers(head[:4])), numbers(head[4:8]), numbers(head[8:])
+    head = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4:n]), np.uint8).reshape(16, -1)
+    of, lost, seen, steps = (numbers(head[j : j + 4]) for j in (0, 4, 8, 12))
     base = np.zeros(len(of))
-    base[lost > 0] = np.frombuffer(raw[n + 4 * len(of) :], "<f8")
-    return of, np.frombuffer(raw[n : n + 4 * len(of)], "<f4").astype(np.float64), seen, base
+    base[lost > 0] = np.frombuffer(raw[n:], "<f8")
+    return np.cumsum(of), steps * STEP, seen, base
 
 
 def by_text(sums: DataFrame, kind: str, total: int) -> DataFrame:

@@ -4,8 +4,8 @@ Level n lists the n-grams in order of their contexts.  Per level there are two
 monotone sequences in Elias-Fano form: the pointers from each (n-1)-gram to
 its range of successors, and the successors' word ids, which are made monotone
 by adding to each the last value of the range before (so an id is the value
-relative to its context's base).  Probabilities are quantised to QUANTUM bits by
-equally filled bins in each level.  A lookup walks the levels by context: it
+relative to its context's base).  Probabilities are quantised to 16 bits in each
+level.  A lookup walks the levels by context: it
 takes the range from the pointers and finds the word by a successor search in
 it.  Where many grams are looked up at once, a level's sequences are read into
 plain arrays first; else only the values that the search touches are.
@@ -19,13 +19,13 @@ import contextlib
 
 import numpy as np
 
-#: Bits of a quantised probability.
-QUANTUM = 12
+#: So many values are kept as they are.
+EXACT = 1 << 14
 
 
 class EliasFano:
-    """A monotone sequence: low bits packed, high parts in unary; select by
-    counts for every 64-bit word of the high part."""
+    """A monotone sequence: low parts in whole bytes, high parts in unary;
+    select by counts for every 64-bit word of the high part."""
 
     FIELDS = ("head", "low", "high", "rank")
 
@@ -35,19 +35,11 @@ class EliasFano:
 
     @classmethod
     def build(cls, values: np.ndarray) -> "EliasFano":
-        values = values.astype(np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
-        bits = max(0, (max(top, 1) // max(n, 1)).bit_length() - 1)
-        low = np.zeros((n * bits + 63) // 64 + 1, dtype=np.uint64)
-        if bits and n:
-            part = values & np.uint64((1 << bits) - 1)
-            at = np.arange(n, dtype=np.uint64) * np.uint64(bits)
-            word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            # Parts don't overlap, and each word has one that begins in it.
-            low[: word[-1] + 1] = np.bitwise_or.reduceat(part << off, np.flatnonzero(np.append(True, word[1:] != word[:-1])))
-            over = off + np.uint64(bits) > np.uint64(64)
-            low[word[over] + 1] |= part[over] >> (np.uint64(64) - off[over])
-        place = (values >> np.uint64(bits)) + np.arange(n, dtype=np.uint64)
+        spread = (max(top, 1) // max(n, 1)).bit_length()
+        bits = 0 if spread < 4 else 8 if spread < 12 else 16 if spread < 20 else 32
+        low = values.astype(LOW[bits]) if bits else np.zeros(0, dtype=np.uint8)
+        place = (values >> bits) + np.arange(n)
         marks = np.zeros(((int(place[-1]) >> 6) + 1 if n else 1) * 64, dtype=bool)
         marks[place] = True
         high = np.packbits(marks, bitorder="little").view(np.uint64)
@@ -60,29 +52,21 @@ class EliasFano:
         i = np.asarray(i, dtype=np.int64)
         word = np.searchsorted(self.rank, i, side="right") - 1
         place = word * 64 + _select(self.high[word], i - self.rank[word].astype(np.int64))
-        value = (place - i).astype(np.uint64) << np.uint64(self.bits)
-        if self.bits:
-            at = i.astype(np.uint64) * np.uint64(self.bits)
-            w, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            part = self.low[w] >> off
-            over = off + np.uint64(self.bits) > np.uint64(64)
-            part[over] |= self.low[w[over] + 1] << (np.uint64(64) - off[over])
-            value |= part & np.uint64((1 << self.bits) - 1)
-        return value.astype(np.int64)
-
+        value = (place - i) << self.bits
+        return value | self.low[i] if self.bits else value
 
     def all(self) -> np.ndarray:
         """The whole sequence."""
         place = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
-        value = (place - np.arange(self.n)).astype(np.int64) << self.bits
+        place -= np.arange(self.n)
         if self.bits:
-            at = np.arange(self.n, dtype=np.uint64) * np.uint64(self.bits)
-            w, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            part = self.low[w] >> off
-            over = off + np.uint64(self.bits) > np.uint64(64)
-            part[over] |= self.low[w[over] + 1] << (np.uint64(64) - off[over])
-            value |= (part & np.uint64((1 << self.bits) - 1)).astype(np.int64)
-        return value
+            place <<= self.bits
+            place |= self.low
+        return place
+
+
+#: Types of low parts, by their bits.
+LOW = {8: np.uint8, 16: np.uint16, 32: np.uint32}
 
 
 def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -124,9 +108,12 @@ class Trie:
             if n == 1:
                 counts = np.array([len(grams)])
             else:
-                above = levels[n - 2][0]
-                parent = np.searchsorted(_key(above, vocabulary), _key(grams[:, :-1], vocabulary))
-                counts = np.bincount(parent, minlength=len(above))
+                # Successors of a context stand together.
+                key = _key(grams[:, :-1], vocabulary)
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                counts = np.zeros(len(levels[n - 2][0]), dtype=np.int64)
+                counts[np.searchsorted(above, key[first])] = np.diff(np.append(first, len(key)))
+            above = _key(grams, vocabulary) if n < len(levels) else None
             pointers = np.concatenate(([0], np.cumsum(counts)))
             word = grams[:, -1].astype(np.int64)
             # Each range starts where the one before ended, so the sequence never falls.
@@ -148,7 +135,7 @@ class Trie:
         if not ids.n or not len(ok):
             return out
         at, word = at[ok], word[ok].astype(np.int64)
-        if len(at) * 4 > ids.n:  # many at a time: the level is read once
+        if n in self.decoded or len(at) * 4 > ids.n:  # many at a time: the level is read once
             start, base, values = self.read(n)
             lo, end, want = start[at], start[at + 1], word + base[at]
             # Values never fall, so the search may begin before the range.
@@ -177,8 +164,8 @@ class Trie:
 
     def find(self, grams: np.ndarray, n: int) -> np.ndarray:
         """Places in level n of rows of n ids; -1 where there is none."""
-        at = np.zeros(len(grams), dtype=np.int64)
-        for j in range(n):
+        at = grams[:, 0].astype(np.int64)  # level 1 has all ids
+        for j in range(1, n):
             at = self.step(at, grams[:, j], j + 1)
         return at
 
@@ -194,12 +181,14 @@ class Trie:
         """Log of the probability of each row's last word after the others,
         by the longest stored context."""
         n = grams.shape[1]
+        if n == 1:
+            return self.log_p(grams[:, 0], 1)
         context = self.find(grams[:, :-1], n - 1)
         at = self.step(context, grams[:, -1], n)
         out = np.zeros(len(grams))
         out[at >= 0] = self.log_p(at[at >= 0], n)
         rest = np.flatnonzero(at < 0)
-        if len(rest) and n > 1:
+        if len(rest):
             out[rest] = self.score(grams[rest, 1:])
             known = rest[context[rest] >= 0]
             out[known] += self.backoff(context[known], n - 1)
@@ -207,13 +196,14 @@ class Trie:
 
 
 def quantised(x: np.ndarray) -> list[np.ndarray]:
-    """Codes, and the values they stand for: equally filled bins, so that
-    up to 2^QUANTUM different values are kept as they are."""
-    values = np.unique(x)
-    if len(values) > 1 << QUANTUM:
-        values = np.unique(np.quantile(x, (np.arange(1 << QUANTUM) + 0.5) / (1 << QUANTUM), method="nearest"))
-    values = values if len(values) else np.zeros(1)
-    return [np.searchsorted((values[1:] + values[:-1]) / 2, x).astype(np.uint16), values.astype(np.float64)]
+    """16-bit codes, and the values they stand for: those that occur where they
+    are few, else evenly spaced ones."""
+    if len(x) <= EXACT:
+        values = np.unique(x) if len(x) else np.zeros(1)
+        return [np.searchsorted(values, x).astype(np.uint16), values.astype(np.float64)]
+    low, high = float(x.min()), float(x.max())
+    step = max(high - low, 1e-9) / 0xFFFF
+    return [np.rint((x - low) / step).astype(np.uint16), low + step * np.arange(1 << 16)]
 
 
 def _key(grams: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -226,7 +216,7 @@ def _key(grams: np.ndarray, vocabulary: int) -> np.ndarray:
 def to_file(arrays: list[np.ndarray], path) -> None:
     """Flat: a count, then for each array its type, length and bytes, all in
     units of 8 bytes."""
-    kinds = ["uint64", "uint32", "uint16", "float64", "int64"]
+    kinds = ["uint64", "uint32", "uint16", "uint8", "float64", "int64"]
     with open(path, "wb") if isinstance(path, str) else contextlib.nullcontext(path) as f:
         f.write(np.array([len(arrays)], dtype="<u8").tobytes())
         for a in arrays:
@@ -239,7 +229,7 @@ def to_file(arrays: list[np.ndarray], path) -> None:
 def open_file(path) -> Trie:
     """The trie over a memory map: pages are read when lookups touch them and
     shared by all workers of a machine."""
-    kinds = ["uint64", "uint32", "uint16", "float64", "int64"]
+    kinds = ["uint64", "uint32", "uint16", "uint8", "float64", "int64"]
     raw = np.memmap(path, dtype=np.uint8, mode="r")
     number, at, arrays = int(raw[:8].view("<u8")[0]), 8, []
     for _ in range(number):

@@ -8,7 +8,7 @@ from granary.llm.shared import docs_of
 
 def queries() -> dict:
     return {
-        "op1_secret_scan": lambda spark, d: secrets.scan(docs_of(spark, d)),
+        "op1_secret_scan": lambda spark, d: secrets.scan_in_steps(docs_of(spark, d)),
         "op2_lm_score": lambda spark, d: lm.score(docs_of(spark, d)),
         "op3_language_id": lambda spark, d: langid.identify(docs_of(spark, d)),
         "op4_repeats": lambda spark, d: repeats.digests(docs_of(spark, d)),

@@ -1,13 +1,18 @@
 """Secret scans through an incremental blob ledger.
 
 Every version of every document is content-addressed by the SHA-256 of its
-text.  A ledger holds one row per (blob, rule, rule version) that has been
-scanned, hits or none.  A run scans only pairs that the ledger lacks, once per
-distinct blob however many paths carry it, and joins findings back to all
-paths.  Everything is DataFrame expressions: copies of a blob collapse on the
-map side before the one shuffle that moves texts, and the join back carries
-only hashes, so that a blob which a third of the paths share costs one scan
-and a join that adaptive execution can split.
+text.  A ledger in shared storage keeps all distinct texts ever added, in
+generations, the findings of all scans, and a manifest of which (generation,
+rule, rule version) is done.  So a (blob, rule version) pair is known as scanned,
+hits or none, without a row of its own; a run adds only texts that the ledger
+lacks, scans only pairs that the manifest lacks, and joins findings back to all
+paths.  The manifest is written after what it speaks of: what a failed run left
+does not count.
+
+Everything is DataFrame expressions: copies of a blob collapse on the map side
+before the one shuffle that moves texts, and the join back carries only hashes,
+so that a blob which a third of the paths share costs one scan and a join that
+adaptive execution can split.
 
 Defined results: a null text is the empty blob and has no findings; repeated
 rows each get their row; a null doc_id stays null; other columns are ignored
@@ -16,12 +21,14 @@ by ``scan`` and kept by ``redact``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.shared import fresh, text_of
+from granary.llm.shared import Scratch, fresh, text_of
 
 
 @dataclass(frozen=True)
@@ -62,80 +69,139 @@ SPAN = "array<struct<start:int,end:int>>"
 FOUND = f"array<struct<rule:string,version:int,spans:{SPAN}>>"
 
 
+#: Matches whose places are summed in one go: the work for n matches of a text is about n x STEP.
+STEP = 256
+
+
+def located(sizes: Column) -> Column:
+    """Matches with their places, from the gap before each and its length."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda s, x: s + x.gap + x.len)
+
+    def begins(parts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(parts, start, lambda s, p: F.struct((s.at + total(p)).alias("at"), F.array_append(s.out, s.at).alias("out"))).out
+
+    def walk(part: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("out"))
+        return F.aggregate(
+            part,
+            start,
+            lambda s, x: F.struct(
+                (s.at + x.gap + x.len).alias("at"),
+                F.array_append(s.out, F.struct((s.at + x.gap).alias("start"), (s.at + x.gap + x.len).alias("end"), x.hit.alias("hit"))).alias("out"),
+            ),
+        ).out
+
+    def cut(own: Column) -> Column:
+        last = F.floor((F.size(own) - 1) / STEP).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(own, j * STEP + 1, F.lit(STEP)))
+
+    # Arrays of one element bind what is used twice, so that it is computed once.
+    parts = F.transform(F.array(sizes), cut)
+    return F.transform(parts, lambda p: F.flatten(F.zip_with(p, begins(p), walk)))[0]
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Code-point spans of the rule's matches, end exclusive.
 
     Built-in functions return matches without places, so the places come from
     the lengths of the pieces between matches and of the matches themselves.
     """
-    pattern = F.lit(rule.pattern)
     pieces = F.split(text, rule.pattern, -1)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    sizes = F.zip_with(
-        F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h).alias("len"), h.alias("hit"))
-    )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("out"))
-    walked = F.aggregate(
-        sizes,
-        start,
-        lambda s, x: F.struct(
-            (s.at + x.gap + x.len).alias("at"),
-            F.concat(s.out, F.array(F.struct((s.at + x.gap).alias("start"), (s.at + x.gap + x.len).alias("end"), x.hit.alias("hit")))).alias("out"),
-        ),
-    ).out
-    kept = F.filter(walked, lambda x: F.length(F.regexp_extract(x.hit, f"^(?:{rule.pattern})$", rule.group)) >= rule.least)
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    sizes = F.transform(
+        F.array(hits),
+        lambda own: F.zip_with(F.slice(pieces, 1, F.size(own)), own, lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h).alias("len"), h.alias("hit"))),
+    )[0]
+    kept = F.filter(located(sizes), lambda x: F.length(F.regexp_extract(x.hit, f"^(?:{rule.pattern})$", rule.group)) >= rule.least)
     plain = F.transform(kept, lambda x: F.struct(x.start.alias("start"), x.end.alias("end")))
     return F.when(text.rlike(rule.pattern), plain).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
-def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, found): one row per distinct text with a pair the ledger lacks;
-    ``found`` has an entry for each pair scanned now, with its spans."""
-    blobs = (
-        docs.select(text_of().alias("text"))
-        .select(F.sha2("text", 256).alias("blob"), "text")
-        .groupBy("blob")
-        .agg(F.first("text").alias("text"))
-    )
-    if ledger is None:
-        todo = {r.name: F.lit(True) for r in rules}
-    else:
-        current = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn(
-            "todo", F.transform(F.array_except(current, F.coalesce("seen", F.expr("cast(array() as array<struct<rule:string,version:int>>)"))), lambda x: x.rule)
-        )
-        blobs = blobs.where(F.size("todo") > 0)
-        todo = {r.name: F.array_contains("todo", r.name) for r in rules}
-    entries = [
-        F.when(
-            todo[r.name],
-            F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")),
-        )
-        for r in rules
-    ]
-    return blobs.select("blob", F.filter(F.array(*entries), lambda x: x.isNotNull()).cast(FOUND).alias("found"))
-
-
-def ledger_rows(scanned: DataFrame) -> DataFrame:
-    """New ledger rows, to append: (blob, rule, version, spans)."""
-    return scanned.select("blob", F.inline("found"))
-
-
-def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, to: str = "_found") -> DataFrame:
+class Ledger:
+    """Blobs, findings and the manifest under one folder that all executors
+    reach; without a folder, one that goes with the session."""
+
+    MANIFEST = "gen string, rule string, version int, run string"
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark = spark
+        self.scratch = Scratch(spark, "ledger")
+        self.root = root or self.scratch.root
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> list:
+        """(gen, rule, version, run) of all that is done; a row without rule
+        for each generation.  Runs x rules rows."""
+        where = f"{self.root}/manifest"
+        return self.spark.read.schema(self.MANIFEST).parquet(where).collect() if self.fs.exists(self.path(where)) else []
+
+    def note(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+
+    def blobs(self, generations: list[str]) -> DataFrame:
+        """(blob, text): each distinct text once."""
+        return self.spark.read.schema("blob string, text string").parquet(*[f"{self.root}/blobs/{g}" for g in generations])
+
+    def add(self, docs: DataFrame) -> str | None:
+        """Keep the texts that are new, as a generation; its name, if there are any."""
+        known = sorted({r["gen"] for r in self.manifest()})
+        rows = docs.select(text_of().alias("text")).select(F.sha2("text", 256).alias("blob"), "text")
+        if known:
+            # Hashes first: texts that are here already are not moved.
+            new = self.scratch.save(rows.select("blob").distinct().join(self.blobs(known).select("blob"), "blob", "left_anti"), f"new-{uuid.uuid4().hex}")
+            if not new.limit(1).count():
+                return None
+            rows = rows.join(new, "blob", "left_semi")
+        gen = uuid.uuid4().hex
+        rows.groupBy("blob").agg(F.first("text").alias("text")).write.option("compression", "zstd").parquet(f"{self.root}/blobs/{gen}")
+        self.note([(gen, None, None, None)])
+        return gen
+
+    def unseen(self, rules: tuple[Rule, ...]) -> dict[tuple[Rule, ...], list[str]]:
+        """Generations by the rules that they have not been scanned for."""
+        done = defaultdict(set)
+        for r in self.manifest():
+            done[r["gen"]].add((r["rule"], r["version"]))
+        todo = defaultdict(list)
+        for gen, pairs in sorted(done.items()):
+            todo[tuple(r for r in rules if (r.name, r.version) not in pairs)].append(gen)
+        return {k: v for k, v in todo.items() if k}
+
+    def scan(self, rules: tuple[Rule, ...]) -> dict[tuple[Rule, ...], list[str]]:
+        """Scan all unseen pairs; returns what was scanned."""
+        todo = self.unseen(rules)
+        for some, generations in todo.items():
+            run = uuid.uuid4().hex
+            entries = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")) for r in some])
+            found = F.filter(entries, lambda x: F.size(x.spans) > 0).cast(FOUND)
+            # Evaluated once: a filter on it would be pushed below and repeat the searches.
+            hits = self.blobs(generations).select("blob", F.inline(found))
+            hits.write.parquet(f"{self.root}/scans/{run}")
+            self.note([(g, r.name, r.version, run) for g in generations for r in some])
+        return todo
+
+    def found(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """(blob, found): of all blobs with hits, for these rules."""
+        current = {(r.name, r.version) for r in rules}
+        runs = sorted({r["run"] for r in self.manifest() if (r["rule"], r["version"]) in current})
+        schema = f"blob string, rule string, version int, spans {SPAN}"
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/scans/{r}" for r in runs]) if runs else self.spark.createDataFrame([], schema)
+        rows = rows.where(F.concat_ws("@", "rule", "version").isin([f"{n}@{v}" for n, v in sorted(current)]))
+        return rows.groupBy("blob").agg(F.collect_list(F.struct("rule", "version", "spans")).alias("found"))  # one entry for each rule
+
+
+def findings(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, to: str = "_found") -> DataFrame:
     """All rows and columns of ``docs`` with a column ``to``: array of (rule,
-    start, end) by start, then by the rule's place in ``rules``.  Pairs in the
-    ledger are taken from it; only others are scanned."""
+    start, end) by start, then by the rule's place in ``rules``.  Texts that the
+    ledger lacks are added to it, and its unseen pairs scanned."""
     address = fresh("_blob", docs)
-    hits = scan_blobs(docs, ledger, rules).where(F.exists("found", lambda x: F.size(x.spans) > 0))
-    if ledger is not None:
-        names = [f"{r.name}@{r.version}" for r in rules]
-        old = (
-            ledger.where((F.size("spans") > 0) & F.concat_ws("@", "rule", "version").isin(names))
-            .groupBy("blob")
-            .agg(F.collect_list(F.struct("rule", "version", "spans")).cast(FOUND).alias("found"))
-        )
-        hits = hits.unionByName(old).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+    ledger = ledger or Ledger(docs.sparkSession)
+    ledger.add(docs)
+    ledger.scan(rules)
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     flat = F.flatten(
         F.transform(
@@ -146,7 +212,7 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
             ),
         )
     )
-    hits = hits.select(F.col("blob").alias(address), F.array_sort(flat).alias(to))
+    hits = ledger.found(rules).select(F.col("blob").alias(address), F.array_sort(flat).alias(to))
     none = F.expr("cast(array() as array<struct<start:int,order:int,end:int,rule:string>>)")
     return (
         docs.withColumn(address, F.sha2(text_of(), 256))
@@ -164,7 +230,7 @@ def _count(rule: str) -> Column:
     return F.size(F.filter("_found", lambda x: x.rule == rule)).cast("long").alias(f"n_{rule}")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, a count for each base kind, the digest of
     the base spans and the text form of all spans."""
     found = findings(docs.select("doc_id", "text"), ledger)
@@ -173,26 +239,35 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("_found")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def scan_in_steps(docs: DataFrame) -> DataFrame:
+    """``scan`` as two runs over one ledger: the first one knows the base rules
+    only; the second one has more rules and scans just the pairs that are new."""
+    ledger = Ledger(docs.sparkSession)
+    ledger.add(docs)
+    ledger.scan(BASE)
+    return scan(docs, ledger)
+
+
+def redact(docs: DataFrame, mark: str = "[secret]", ledger: Ledger | None = None) -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans
     are merged first.  Rows and columns stay."""
     name = fresh("_found", docs)
-    found = findings(docs, to=name)
+    found = findings(docs, ledger, to=name)
     merged = F.aggregate(
         name,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.when(x.end <= s.at, s).otherwise(
-            F.struct(
-                x.end.alias("at"),
-                F.when(x.start < s.at, s.out)
-                .otherwise(F.concat(s.out, F.substring("text", s.at + 1, x.start - s.at), F.lit(mark)))
-                .alias("out"),
-            )
-        ),
-    )
-    cut = F.when(F.size(name) == 0, F.col("text")).otherwise(
-        F.concat(merged.out, F.substring("text", merged["at"] + 1, F.length("text")))
-    )
+        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out")),
+        lambda s, x: F.when(x.start >= s.at, F.struct(x.end.alias("at"), F.array_append(s.out, F.struct(x.start.alias("start"), x.end.alias("end"))).alias("out")))
+        .when(x.end > s.at, F.struct(x.end.alias("at"), F.array_append(F.slice(s.out, F.lit(1), F.size(s.out) - 1), F.struct(F.element_at(s.out, -1).start.alias("start"), x.end.alias("end"))).alias("out")))
+        .otherwise(s),
+    ).out
+
+    def pieces(spans: Column) -> Column:
+        """The text between spans, one more than there are."""
+        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x.end))
+        starts = F.concat(F.transform(spans, lambda x: x.start), F.array(F.length("text")))
+        return F.zip_with(ends, starts, lambda a, b: F.substring("text", a + 1, b - a))
+
+    cut = F.when(F.size(name) == 0, F.col("text")).otherwise(F.array_join(F.transform(F.array(merged), pieces)[0], mark))
     return found.withColumn("text", cut).select(*docs.columns)
 
 

@@ -39,18 +39,48 @@ def test_added_rules(docs_table):
     assert row["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
-def test_ledger_scans_only_what_is_new(spark, docs_table):
+def test_ledger_scans_only_what_is_new(spark, docs_table, tmp_path):
+    where = f"file://{tmp_path}/ledger"
     first = docs_table([(1, "token=abcdef12"), (2, "nothing"), (3, "token=abcdef12")])
-    ledger = secrets.ledger_rows(secrets.scan_blobs(first)).persist()
-    assert ledger.count() == 2 * len(secrets.RULES)  # equal texts are one blob
+    ledger = secrets.Ledger(spark, where)
+    gen = ledger.add(first)
+    assert ledger.blobs([gen]).count() == 2  # equal texts are one blob
+    assert ledger.scan(secrets.BASE) == {secrets.BASE: [gen]}
+    # The next session reads what is stored: only the added rules are unseen, and no text is new.
+    ledger = secrets.Ledger(spark, where)
+    assert ledger.add(first) is None
+    assert ledger.unseen(secrets.RULES) == {secrets.EXTRA: [gen]}
     more = first.unionByName(docs_table([(4, "passwd: zzzzzz9")]))
-    scanned = secrets.scan_blobs(more, ledger).collect()
-    assert len(scanned) == 1 and len(scanned[0]["found"]) == len(secrets.RULES)
+    want = {r["doc_id"]: r["spans"] for r in secrets.scan(more).collect()}
+    assert {r["doc_id"]: r["spans"] for r in secrets.scan(more, ledger).collect()} == want and want[4]
+    gens = {r["gen"] for r in ledger.manifest()}
+    new = next(iter(gens - {gen}))
+    assert len(gens) == 2 and [r["text"] for r in ledger.blobs([new]).collect()] == ["passwd: zzzzzz9"]
+    assert ledger.unseen(secrets.RULES) == {} and ledger.scan(secrets.RULES) == {}
+    # A new version of one rule: that rule alone, on all blobs, those of no path included.
     newer = tuple(secrets.Rule(r.name, r.pattern, r.group, r.least, 2) if r.name == "hex" else r for r in secrets.RULES)
-    again = secrets.scan_blobs(first, ledger, newer).collect()
-    assert len(again) == 2 and all([f["rule"] for f in r["found"]] == ["hex"] for r in again)
-    whole = {r["doc_id"]: r["spans"] for r in secrets.scan(more).collect()}
-    assert {r["doc_id"]: r["spans"] for r in secrets.scan(more, ledger).collect()} == whole
+    only = {r["doc_id"]: r["_found"] for r in secrets.findings(docs_table([(4, "passwd: zzzzzz9")]), ledger, newer).collect()}
+    assert len(only[4]) == 1 and ledger.unseen(newer) == {}
+    done = [r for r in ledger.manifest() if r["version"] == 2]
+    assert {(r["gen"], r["rule"]) for r in done} == {(g, "hex") for g in gens}
+
+
+def test_failed_run_does_not_count(spark, docs_table, tmp_path):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    docs = docs_table([(1, "token=abcdef12")])
+    ledger.add(docs)
+    # Findings without a note in the manifest, as a lost driver would leave them.
+    spark.createDataFrame([("x", "assign", 1, [(0, 9)])], f"blob string, rule string, version int, spans {secrets.SPAN}").write.parquet(f"{ledger.root}/scans/left")
+    assert secrets.scan(docs, ledger).first()["spans"] == "assign:0:14"
+    assert secrets.scan_in_steps(docs).first()["spans"] == "assign:0:14"
+
+
+def test_many_matches(docs_table):
+    """More than STEP matches in one text, and overlapping spans to redact."""
+    text = " ".join(f"é token=abcdef{i:04d}" for i in range(700)) + " token=" + "0123456789abcdef" * 2
+    got = secrets.scan(docs_table([(1, text)])).first()
+    assert (got["spans"], got["n_assign"]) == (brute(text)[2], 701)
+    assert secrets.redact(docs_table([(1, text)])).first()["text"] == " ".join(["é [secret]"] * 700) + " [secret]"
 
 
 def test_redact(clashing, docs_table):

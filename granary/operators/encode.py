@@ -29,8 +29,8 @@ def dictionary(frequent: DataFrame) -> DataFrame:
 class Encoding:
     """The dictionary of a run: small tables of items, and encoders."""
 
-    def __init__(self, transactions: DataFrame, min_count: int):
-        self.transactions, self.min_count = transactions, min_count
+    def __init__(self, transactions: DataFrame, min_count: int, inline: int = INLINE, broadcast: int = BROADCAST_ITEMS):
+        self.transactions, self.min_count, self.inline, self.broadcast = transactions, min_count, inline, broadcast
         spark = transactions.sparkSession
         frequent = item_counts(transactions, min_count)
         # At most min_count-th parts of all items' occurrences come to the driver.
@@ -46,7 +46,7 @@ class Encoding:
         """(tid, r): the ranks of each transaction's frequent items, ascending;
         may be empty.  Narrow for small dictionaries, which become part of the
         expression; else one pass by tid."""
-        if len(self) <= INLINE:
+        if len(self) <= self.inline:
             # array_intersect keeps the order of its first argument, so ranks come out ascending.
             known = F.array(*map(F.lit, self.items)).cast("array<string>")
             found = F.array_intersect(known, F.array_compact("items"))
@@ -57,7 +57,7 @@ class Encoding:
         return joined.groupBy("tid").agg(F.array_sort(F.collect_list("rank")).alias("r"))
 
     def sized(self, table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if len(self) <= BROADCAST_ITEMS else table
+        return F.broadcast(table) if len(self) <= self.broadcast else table
 
     def patterns(self) -> DataFrame:
         """(r, w): distinct encoded transactions and how many there are of
@@ -70,7 +70,7 @@ class Encoding:
 
     def decode(self, fis: DataFrame, column: str = "itemset") -> DataFrame:
         """Itemsets of ranks to ``items`` in string order."""
-        if len(self) <= INLINE:
+        if len(self) <= self.inline:
             known = F.array(*map(F.lit, self.items)).cast("array<string>")
             named = F.array_sort(F.transform(F.col(column), lambda k: F.get(known, k)))
             return fis.withColumn("items", named).drop(column)

@@ -2,7 +2,8 @@
 
 A node is a distinct prefix of rank-sorted transactions, so a tree is a count
 by prefix; arrays sort a prefix before its extensions, so a node's place in
-that order is its pre-order number.
+that order is its pre-order number.  With a number above all ranks at its end a
+prefix sorts after its extensions, which gives the post-order.
 """
 
 from __future__ import annotations
@@ -20,21 +21,21 @@ def conditional(patterns: DataFrame, groups: int) -> DataFrame:
     return last.select("gid", F.expr("slice(r, 1, at + 1)").alias("r"), "w").groupBy("gid", "r").agg(F.sum("w").alias("w"))
 
 
-def tree(rows: DataFrame) -> DataFrame:
+def tree(rows: DataFrame, *by: str) -> DataFrame:
     """(gid, prefix, item, cnt, pre, post) from (gid, r, w), without the root,
-    which has pre-order number 1.  Numbers are within a group's tree."""
+    which has pre-order number 1.  Numbers are within a group's tree; groups may
+    be named ``by`` other columns."""
+    by = by or ("gid",)
     prefixes = F.transform(F.sequence(F.lit(1), F.size("r")), lambda i: F.slice("r", F.lit(1), i))
-    nodes = rows.where(F.size("r") > 0).select("gid", F.explode(prefixes).alias("prefix"), "w").groupBy("gid", "prefix").agg(F.sum("w").alias("cnt"))
-    upper = F.transform(F.sequence(F.lit(1), F.size("prefix")), lambda i: F.slice("prefix", F.lit(1), i))
-    below = nodes.select("gid", F.explode(upper).alias("prefix")).groupBy("gid", "prefix").agg(F.count("*").alias("size"))
-    numbered = nodes.join(below, ["gid", "prefix"]).withColumn("pre", 1 + F.row_number().over(W.partitionBy("gid").orderBy("prefix")))
-    return numbered.select(
-        "gid",
+    nodes = rows.where(F.size("r") > 0).select(*by, F.explode(prefixes).alias("prefix"), "w").groupBy(*by, "prefix").agg(F.sum("w").alias("cnt"))
+    own = W.partitionBy(*by)
+    return nodes.select(
+        *by,
         "prefix",
         F.element_at("prefix", -1).alias("item"),
         "cnt",
-        F.col("pre").cast("long").alias("pre"),
-        (F.col("pre") - F.size("prefix") + F.col("size") - 1).cast("long").alias("post"),
+        (1 + F.row_number().over(own.orderBy("prefix"))).cast("long").alias("pre"),
+        F.row_number().over(own.orderBy(F.array_append("prefix", F.lit((1 << 31) - 1)))).cast("long").alias("post"),
     )
 
 
@@ -66,9 +67,12 @@ def item_nodes(nodes: DataFrame) -> DataFrame:
 
 def pair_supports(nodes: DataFrame, singles: DataFrame, groups: int) -> DataFrame:
     """(x, y, freq): supports of pairs with y more frequent, from the nodes of
-    x that have no ancestor y, in the tree of x's group."""
+    x that have an ancestor y, in the tree of x's group (x's support less that
+    of its nodes without one)."""
     own = nodes.where(F.pmod("item", F.lit(groups)) == F.col("gid"))
-    ranks = singles.select(F.col("itemset")[0].alias("y"))
-    paired = own.join(F.broadcast(ranks), F.col("y") < F.col("item"))
-    lost = F.when(F.array_contains("prefix", F.col("y")), 0).otherwise(F.col("cnt"))
-    return paired.groupBy(F.col("item").alias("x"), "y").agg((F.sum("cnt") - F.sum(lost)).alias("freq"))
+    above = own.select(F.col("item").alias("x"), F.explode(F.expr("slice(prefix, 1, size(prefix) - 1)")).alias("y"), "cnt")
+    found = above.groupBy("x", "y").agg(F.sum("cnt").alias("freq"))
+    # Pairs that never meet: each item with all that are more frequent, which is the result's size.
+    x = F.col("itemset")[0]
+    every = singles.where(x > 0).select(x.alias("x"), F.explode(F.sequence(F.lit(0), x - 1)).alias("y"))
+    return every.join(found, ["x", "y"], "left").select("x", "y", F.coalesce("freq", F.lit(0)).cast("long").alias("freq"))

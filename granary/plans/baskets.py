@@ -19,6 +19,10 @@ SQL = {
         "select distinct o_custkey as tid, p_brand as item from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey",
     ),
     "user_event": (0.9, "select distinct user_id as tid, event_type as item from events"),
+    "order_kind": (
+        0.002,
+        "select distinct l_orderkey as tid, unnest([p_brand || '/' || p_size, 'rf=' || l_returnflag]) as item from lineitem join part on l_partkey = p_partkey",
+    ),
     "order_brand": (0.002, "select distinct l_orderkey as tid, p_brand as item from lineitem join part on l_partkey = p_partkey"),
 }
 
@@ -35,10 +39,13 @@ def baskets(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     if name == "user_event":
         return of_pairs(table("events"), "user_id", "event_type")
-    part = table("part").select("p_partkey", "p_brand", "p_type")
+    part = table("part").select("p_partkey", "p_brand", "p_type", "p_size")
     lines = table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     if name == "order_brand":
         return of_pairs(lines, "l_orderkey", "p_brand")
+    if name == "order_kind":  # many different items
+        items = F.array(F.concat("p_brand", F.lit("/"), "p_size"), F.concat(F.lit("rf="), "l_returnflag"))
+        return of_pairs(lines.select("l_orderkey", F.explode(items).alias("item")), "l_orderkey", "item")
     rows = lines.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if name == "cust_brand":
         return of_pairs(rows, "o_custkey", "p_brand")

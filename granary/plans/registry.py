@@ -63,6 +63,8 @@ def _rank_fis(name: str, size: int) -> str:
     return f"{_ranks(name)}, o as (select tid, rank from t join dict using (item)), fk as (select [{keys}] as itemset, count(*) as freq from {froms} where {on} group by {keys} having count(*) >= (select m from n))"
 
 
+#: Ranks, after ``_fis``.
+_DICT = "dict as (select item, (row_number() over (order by len(tids) desc, item) - 1)::int as rank from f1)"
 FLAT = "select array_to_string(items, ',') as itemset, len(items)::int as k, freq from fi"
 
 
@@ -97,6 +99,10 @@ for _name, _basket, _miner, _options in (
     ("eclat_squeezed", "cust_brand", "ECLAT", {"diffsets": True, "squeeze": True}),
     ("eclat_split_classes", "cust_brand", "ECLAT", {"class_rows": 100}),
     ("bigfim_sparse", "order_brand", "BIG_FIM", {}),
+    ("apriori_many_items", "order_kind", "APRIORI", {}),
+    ("eclat_many_items", "order_kind", "ECLAT", {}),
+    ("eclat_bit_limit", "order_attr", "ECLAT", {"class_bits": 2000}),
+    ("fin_cut_trees", "order_attr", "FIN", {"groups": 4, "tree_cells": 500}),
     ("bigfim_short_prefix", "cust_brand", "BIG_FIM", {"prefix_len": 1}),
     ("fin_par", "order_attr", "FIN", {}),
     ("fin_par_groups", "cust_brand", "FIN", {"groups": 4}),
@@ -124,10 +130,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bigfim_deep_top",
-    f"with {_fis('order_attr')} select len(items)::int as k, freq from fi where len(items) > 4 order by freq desc limit 10",
+    f"with {_fis('order_attr')}, {_DICT}, named as (select items, freq, (select list(rank order by rank) from dict where list_contains(items, item)) as r from fi where len(items) > 4)"
+    " select array_to_string(items, ',') as itemset, len(items)::int as k, freq from named order by freq desc, r limit 10",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bigfim.mine(run_of(spark, sf_dir, "order_attr").encoding).deep_top(10).select(F.size("itemset").alias("k"), "freq")
+    run = run_of(spark, sf_dir, "order_attr")
+    return results.flat(run.encoding.decode(bigfim.mine(run.encoding).deep_top(10)))
 
 
 @query("fin_count_only", f"with {_fis('order_attr')} select count(*) as n from fi")
@@ -439,3 +447,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         bitsets.cardinality(bitsets.flip(a, 127)).alias("n_flip"),
         bitsets.get(a, F.lit(64)).alias("has_64"),
     )
+
+
+from granary.plans import surfaces  # noqa: E402, F401  registers more queries, which use what is above

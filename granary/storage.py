@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in a
-    local test, one is made for the session."""
+    """The folder named by spark.checkpoint.dir.  A session with all executors
+    in the driver's process may do without; for it a folder is made."""
     root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_granary_root", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
         root = spark._granary_root = "file://" + tempfile.mkdtemp(prefix="granary-")
     return root
 

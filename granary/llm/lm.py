@@ -202,8 +202,8 @@ def line_of(values: np.ndarray, size: np.ndarray, end) -> tuple[np.ndarray, np.n
 class Model:
     """What all workers need: counts of frequent words, and the shards."""
 
-    def __init__(self, table: Words, total: int, distinct: int, shards: int):
-        self.table, self.total, self.distinct, self.shards = table, total, distinct, shards
+    def __init__(self, table: Words, total: int, distinct: int, keys: np.ndarray):
+        self.table, self.total, self.distinct, self.keys, self.shards = table, total, distinct, keys, len(keys)
         self.norm = total + 0.5 * (distinct + 1)
         self.end = int(np.searchsorted(table.hashes, END_HASH.view(np.uint64)))
         self.logs = np.log10((table.counts + 0.5) / self.norm)
@@ -214,6 +214,7 @@ class Model:
         self.piece = min(max(PIECE, PER_SHARD * shards), LARGEST_PIECE)
 
     def deal(self, word: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Numbers of shards."""
         return (mix(mix(word) + turn) % np.uint64(self.shards)).astype(np.int64)
 
     def hot_place(self, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,9 +235,9 @@ class Model:
         return out
 
     def shards_of(self, i: int) -> list[int]:
-        """All shards of the i-th hot word."""
+        """Keys of all shards of the i-th hot word."""
         turn = np.arange(self.split[i], dtype=np.uint64)
-        return np.unique(self.deal(np.repeat(self.table.hashes[self.hot[i]], len(turn)), turn)).tolist()
+        return self.keys[np.unique(self.deal(np.repeat(self.table.hashes[self.hot[i]], len(turn)), turn))].tolist()
 
     def pair_keys(self, i: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Keys of bigrams of hot words: the word's place among them, then hash bits."""
@@ -290,7 +291,7 @@ class Model:
         edge = [*edge.tolist(), len(shard)]
         for i, (lo, hi) in enumerate(zip(edge, edge[1:])):
             raw = pack(rows[:, lo:hi].tobytes())
-            yield int(shard[lo]), len(raw).to_bytes(4, "little") + raw + rest[upto[i] : upto[i + 1]].tobytes()
+            yield int(self.keys[shard[lo]]), len(raw).to_bytes(4, "little") + raw + rest[upto[i] : upto[i + 1]].tobytes()
 
     def tokens(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(places as rows of three, hashes of words that have none, texts, blob) from packed tokens."""
@@ -363,6 +364,16 @@ class Model:
             return np.concatenate([np.zeros(0), *[mapped.score(np.stack([x[i : i + BLOCK] for x in (a, b, c)], axis=1)) for i in range(0, len(a), BLOCK)]])
 
 
+def keys_for(spark, n: int) -> np.ndarray:
+    """A key for each of n shards, such that a shuffle by key to n partitions
+    gives each its own.  Spark's hash decides, so it is asked."""
+    tried = spark.range(0, 24 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    keys = 24 * n + np.arange(n, dtype=np.int64)  # stands for a partition that no number hits
+    for r in tried:
+        keys[r["p"]] = r["id"]
+    return keys
+
+
 #: Grams that are looked up at a time; unit in which a text's sums travel.
 BLOCK, STEP = 1 << 18, 2.0**-12
 HEAD = np.dtype([("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("held", "?")])
@@ -390,7 +401,7 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame | None]:
         np.append(top["key"].to_numpy(), END_HASH).astype(np.int64).view(np.uint64), np.append(top["n"].to_numpy(), ends[0] if ends else 0).astype(np.int64)
     )
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD), 1)
-    model = Model(table, total, distinct, shards)
+    model = Model(table, total, distinct, keys_for(spark, shards))
     if distinct <= len(table) and not len(model.hot):
         return model, None
     shared = spark.sparkContext.broadcast(model)
@@ -419,7 +430,7 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame | None]:
                     order = np.lexsort((key, shard))
                     shard, key = shard[order], key[order]
                     new = np.append(True, (shard[1:] != shard[:-1]) | (key[1:] != key[:-1]))
-                    yield batch_of(np.full(int(new.sum()), LATE, dtype=np.int32), shard[new], key[new], names=["kind", "a", "b"])
+                    yield batch_of(np.full(int(new.sum()), LATE, dtype=np.int32), own.keys[shard[new]], key[new], names=["kind", "a", "b"])
         yield taken()
 
     every = docs.select(text_of().alias("text"), F.coalesce(rest != 1, F.lit(True)).alias("trained"))
@@ -599,7 +610,7 @@ def score(docs: DataFrame) -> DataFrame:
                 n = len(row)
                 raw = head.tobytes()
                 blobs = [raw[i : i + HEAD.itemsize] for i in range(0, len(raw), HEAD.itemsize)]
-                yield rows_of(np.full(n, piece % own.shards), ROW, piece, sum(len(h[0]) for h in held[:-1]) + np.arange(n), blobs, batch.column(1).slice(x, y - x))
+                yield rows_of(np.full(n, own.keys[piece % own.shards]), ROW, piece, sum(len(h[0]) for h in held[:-1]) + np.arange(n), blobs, batch.column(1).slice(x, y - x))
                 tokens += len(found) + n
                 if tokens >= own.piece:
                     yield dealt(own, held)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.shared import Scratch
 
-TABLES, HASHES, MASS, SEED = 4, 6, 0.55, 77
+TABLES, HASHES, MASS, SEED = 2, 6, 0.7, 77
 #: Width of a cell and the distance at which neighbours are expected, in units
 #: of the largest norm.
 WIDTH, EXPECTED = 2.0, 1.25

@@ -61,6 +61,12 @@ def test_against_brute_force(spark, docs_table, monkeypatch, frequent):
         assert abs(g[6] - w[6]) < 0.01 * g[2]
 
 
+def test_clashing_columns(docs_table, clashing):
+    more = clashing.withColumns({c: clashing["score"] for c in ("kind", "a", "b", "held_out", "piece", "base_score")})
+    plain = docs_table([(r["doc_id"], r["text"]) for r in clashing.collect()])
+    assert sorted(map(tuple, lm.score(more).collect())) == sorted(map(tuple, lm.score(plain).collect()))
+
+
 def test_without_training_texts(docs_table):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     row = lm.score(docs_table([(held, "a b c")])).first()

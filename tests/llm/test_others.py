@@ -70,6 +70,18 @@ def test_decontaminate_against_brute_force(spark, docs_table, prose, clashing, m
     assert decontaminate.contaminated(docs_table([]), table).count() == 0
 
 
+def test_decontaminate_without_ids(spark, docs_table, prose, monkeypatch):
+    """Items without id, equal texts under several ids, an id of several texts."""
+    a, b, c = (prose(900 + i, 15) for i in range(3))
+    table = spark.createDataFrame([(None, a), (None, b), (None, b), (1, a), (2, c), (2, a + " x")], "item_id long, text string")
+    docs = docs_table([(1, a + " and " + b), (2, c), (3, "none of them"), (4, None), (1, a + " and " + b)])
+    want = Counter({(1, None): 4, (1, 1): 2, (1, 2): 2, (2, 2): 1})
+    for block in (1 << 20, 10):  # one block, a block for each text
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        assert Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, table).collect()) == want
+        assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, table).collect()) == [3, 4]
+
+
 # Tokens.
 
 
@@ -97,6 +109,16 @@ def test_byte_bpe(docs_table, clashing, tiktoken_own):
     assert set(both.columns) == set(clashing.columns) and both.first()["matches"] == "own"
 
 
+def test_json_and_tiktoken_files_agree(tiktoken_own):
+    own = bytebpe.codec(bytebpe.default_vocabulary())
+    assert {bytes(b): i for i, b in enumerate(own.bytes) if b} == tiktoken_own._mergeable_ranks
+
+
+def test_results_on_request(docs_table, clashing):
+    row = bytebpe.encode(docs_table([(1, "aé b"), (2, None)]), give=("round_trip", "n_tokens"), names={"n_tokens": "many"}).orderBy("doc_id").collect()
+    assert [(r["round_trip"], r["many"] > 0) for r in row] == [(True, True), (True, False)] and "ids" not in row[0].asDict()
+
+
 def test_offsets_and_split_characters(docs_table):
     row = bytebpe.encode(docs_table([(1, "aé\U0001f9ff b")])).first()
     own = bytebpe.codec(bytebpe.default_vocabulary())
@@ -222,3 +244,44 @@ def test_nearest_few_vectors_in_copies(spark):
     for r in got:
         ranks.setdefault(r["query_id"], []).append(r["rank"])
     assert ranks and all(sorted(x) == list(range(1, 21)) for x in ranks.values())
+
+
+def test_nearest_ties(spark):
+    """200 different vectors near the query with one inner product: the smallest ids win."""
+    rng = np.random.default_rng(6)
+    ids = [int(i) for i in rng.permutation(np.arange(1, 4000)) if i % 20][:200]
+    rest = rng.normal(size=(200, 15))
+    rest *= 1e-3 / np.sqrt((rest**2).sum(axis=1))[:, None]
+    rows = [(i, [1.0, *map(float, r)], 0) for i, r in zip(ids, rest)] + [(0, [1.0] + [0.0] * 15, 0)]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in nearest.search(vectors(spark, rows)).collect() if r["query_id"] == 0)
+    assert got == [(k, i, 1.0) for k, i in enumerate(sorted(ids)[:20], 1)]
+
+
+def test_best_selects_by_score_and_id():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n, k = int(rng.integers(1, 60)), int(rng.integers(1, 12))
+        points = rng.integers(-1, 2, (n, 4)).astype(float)
+        ids = [sorted(rng.choice(200, int(rng.integers(1, 4)), replace=False).tolist()) for _ in range(n)]
+        held = nearest.Entries(np.arange(n), ids, points)
+        cut = int(rng.integers(0, n + 1))
+        spans = {1: (0, cut), 2: (cut, n), 3: (0, n)}
+        queries = [(rng.integers(-1, 2, 4).astype(float), [1, 2, 3]) for _ in range(3)]
+        got = list(zip(*nearest.best(held, spans, queries, k)))
+        for q, (v, _) in enumerate(queries):
+            score = {}
+            for own, p in zip(ids, points):
+                for i in own:
+                    score[i] = max(score.get(i, -99.0), float(v @ p))
+            want = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k]
+            assert [(int(i), float(s)) for w, i, s in got if w == q] == want
+
+
+def test_nearest_few_vectors_many_rows(spark):
+    rows = [(i, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]][i % 3], 0) for i in range(34)] + [(3, [9.0, 9.0], 0)]
+    got = {}
+    for r in nearest.search(vectors(spark, rows).withColumns({c: F.lit("own") for c in ("slot", "ids", "name", "bucket", "k1", "rank", "score")})).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {0, 20} and all(len(x) == 20 for x in got.values())
+    # vec_id 3 has two vectors and keeps its best score
+    assert sorted(got[20])[0] == (1, 3, 18.0) and sorted(got[0])[0] == (1, 3, 9.0)

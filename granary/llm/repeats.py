@@ -19,6 +19,9 @@ Documents are packed into shards once; that is the only shuffle of texts.
    search among the distinct ones.
 3. Shards mark the bytes of strings whose least doc_id is below their own.
 
+Suffixes of places without a shared anchor are not sorted: to exchange every
+suffix, eight bytes for each byte of text, would take several times the input.
+
 A passage that many documents share arrives once per shard, not per document.
 Runs at its edges differ from document to document but share an anchor; for
 anchors of more than HOT different runs, the strings of a run go separately,
@@ -107,7 +110,8 @@ class Shard:
     A run is a maximal row of strings with one anchor: their starts are
     lo .. hi - 1, its bytes raw[lo : hi - 1 + LENGTH]."""
 
-    def __init__(self, blobs: list[bytes]):
+    def __init__(self, blobs: list[bytes], chunk: int = CHUNK):
+        self.chunk = chunk
         ids, sizes, raw = (np.concatenate(x) for x in zip(*map(unpack, blobs)))
         starts = np.cumsum(sizes) - sizes
         # Spark may hand over the blobs in another order the next time.
@@ -125,7 +129,7 @@ class Shard:
         found, first = [], 0
         while first < len(self.sizes):
             # Some documents at a time; one, if it is long.
-            last = max(first + 1, int(np.searchsorted(self.starts + self.sizes, self.starts[first] + CHUNK)))
+            last = max(first + 1, int(np.searchsorted(self.starts + self.sizes, self.starts[first] + self.chunk)))
             a = int(self.starts[first])
             b = int(self.starts[last - 1] + self.sizes[last - 1])
             if b - a >= LENGTH:
@@ -161,7 +165,7 @@ class Shard:
         owner = np.repeat(apart, n)
         lo = np.concatenate([self.lo[whole], single])
         size = np.concatenate([self.hi[whole] - self.lo[whole] + LENGTH - 1, np.full(len(single), LENGTH)])
-        content = np.concatenate([self.content[whole], content_of(self.raw, single, np.full(len(single), LENGTH))])
+        content = np.concatenate([self.content[whole], content_of(self.raw, single, np.full(len(single), LENGTH), self.chunk)])
         key = np.concatenate([self.anchor[whole], mix(content[len(whole) :] + np.uint64(1))])
         ids = np.concatenate([self.id[whole], self.id[owner]])
         order = np.lexsort((ids, content, key))
@@ -192,10 +196,10 @@ def gathered(raw: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[at]
 
 
-def content_of(raw: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+def content_of(raw: np.ndarray, lo: np.ndarray, size: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     """Hashes of raw[lo : lo + size], elementwise, some at a time."""
     out = np.zeros(len(lo), dtype=np.uint64)
-    step = max(1, CHUNK // (2 * LENGTH))
+    step = max(1, chunk // (2 * LENGTH))
     for a in range(0, len(lo), step):
         n = size[a : a + step].astype(np.int64)
         ends = np.cumsum(n)
@@ -220,9 +224,11 @@ def least_ids(raw: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out[full]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_runs: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """For each row doc_id, its byte counts and what is left: n_bytes,
-    n_removed, n_spans, spans (start and end bytes), kept (the bytes)."""
+    n_removed, n_spans, spans (start and end bytes), kept (the bytes).  An anchor
+    of more than ``hot_runs`` different runs is dealt string by string; bytes are
+    hashed some ``chunk`` at a time."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -248,7 +254,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def send_anchors(group: pa.Table) -> pa.Table:
         own = group.column("shard")[0].as_py()
-        names, several, runs, mark = Shard(group.column("blob").to_pylist()).distinct_anchors()
+        names, several, runs, mark = Shard(group.column("blob").to_pylist(), chunk).distinct_anchors()
         out = [(b, pack(names[x:y], several[x:y].view(np.uint8), runs[x:y], mark[x:y])) for b, x, y in slices_of(bucket_of(names, buckets))]
         return table([own] * len(out), [b for b, _ in out], [x for _, x in out])
 
@@ -264,7 +270,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             several[at] |= flag.view(bool)
             low[at], high[at] = np.minimum(low[at], mark), np.maximum(high[at], mark)
         # Where all marks agree, the many shards' runs are one and the same.
-        hot = (runs > HOT) & ((low != high) | (low == 0))
+        hot = (runs > hot_runs) & ((low != high) | (low == 0))
         answer = np.where(hot, 2, (shards > 1) | several).astype(np.uint8)
         return table(group.column("shard").to_pylist(), group.column("bucket").to_pylist(), [pack(answer[at]) for at in places])
 
@@ -276,7 +282,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         if not group.num_rows:
             return table([], [], [])
         own = group.column("shard")[0].as_py()
-        shard = Shard(group.column("blob").to_pylist())
+        shard = Shard(group.column("blob").to_pylist(), chunk)
         flags = flags_of(answers)
         key, content, lo, size, ids = shard.pieces(flags)
         first = distinct(key, content)  # ids are in order within, so the first is the least
@@ -296,7 +302,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         key, size, ids, raw = (np.concatenate([x[j] for x in lists]) for j in (1, 2, 3, 4))
         size = size.astype(np.int64)
         starts = np.cumsum(size) - size
-        name = mix(key + mix(content_of(raw, starts, size)))
+        name = mix(key + mix(content_of(raw, starts, size, chunk)))
         order = np.lexsort((ids, name))
         first = order[distinct(name[order], name[order])]
         strings = size[first] - LENGTH + 1
@@ -327,7 +333,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def cut(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.table({c: pa.array([], t) for c, t in fields})
-        shard = Shard(group.column("blob").to_pylist())
+        shard = Shard(group.column("blob").to_pylist(), chunk)
         key, content, lo, size, ids = shard.pieces(flags_of(answers))
         first = distinct(key, content)
         rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
@@ -371,6 +377,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, hot_runs: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of what is left."""
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs, hot_runs, chunk).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

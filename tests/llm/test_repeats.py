@@ -42,11 +42,9 @@ def cases(prose):
 
 
 @pytest.mark.parametrize("hot", [8192, 1], ids=["runs", "strings"])
-def test_against_brute_force(docs_table, prose, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "CHUNK", 3000)
+def test_against_brute_force(docs_table, prose, hot):
     rows = cases(prose)
-    got = sorted((tuple(r) for r in repeats.digests(docs_table(rows).repartition(3)).collect()), key=str)
+    got = sorted((tuple(r) for r in repeats.digests(docs_table(rows).repartition(3), hot, 3000).collect()), key=str)
     assert got == brute(rows)
 
 

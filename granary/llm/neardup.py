@@ -10,7 +10,7 @@ connected components.
    that agree in all rows of a band meet in that band's bucket.  Two texts of
    similarity 0.8 miss each other with a chance of 1e-4.
 3. Buckets with the same members count once.  Members of a bucket are checked
-   exactly: each in turn is compared with all members outside its own component
+   on their whole multisets (as sets of 32-bit hashes): each in turn is compared with all members outside its own component
    whose signatures agree well enough, and linked to its bucket's component;
    a bucket emits one link per member, never all pairs.  A bucket beyond PART
    members is dealt over tasks; then the members that are still outside its

@@ -211,7 +211,7 @@ class Model:
         self.hot = np.flatnonzero(table.counts > SHARD // 2)
         self.split = -(-table.counts[self.hot] * 2 // SHARD)
         self.bits = max(1, len(self.hot).bit_length())
-        self.piece = min(max(PIECE, PER_SHARD * shards), LARGEST_PIECE)
+        self.piece = min(max(PIECE, PER_SHARD * self.shards), LARGEST_PIECE)
 
     def deal(self, word: np.ndarray, turn: np.ndarray) -> np.ndarray:
         """Numbers of shards."""

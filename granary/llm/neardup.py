@@ -42,7 +42,7 @@ from granary.llm.shared import Scratch, fresh, parts
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
 #: Members of a bucket, or of a block of it, that one task holds; agreement of signatures below
 #: which a pair isn't compared: over five standard deviations under SIMILAR.
-PART, AGREE = 2048, 0.6
+PART, AGREE = 512, 0.6
 #: Texts that are hashed at a time, in characters.
 CHUNK = 1 << 18
 

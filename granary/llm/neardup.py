@@ -308,3 +308,20 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     )
     kept = kept.dropDuplicates(["doc_id", node]).select(*own)
     return kept.unionByName(docs.where(node_of(at).isNull()))
+
+
+#: DuckDB: all pairs of different texts that share a shingle, compared exactly.
+ORACLE_SQL = f"""
+with recursive d as (select doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+t as (select row_number() over (order by text) as node, text, w, min_id, n from (select text, any_value(w) as w, min(doc_id) as min_id, count(*) as n from d where len(w) > 0 group by text)),
+s as (select node, array_to_string(w[i : i + {SHINGLE - 1}], ' ') as shingle, count(*) as m from (select node, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) as i from t) group by all),
+z as (select node, sum(m) as size from s group by node),
+p as (select a.node as a, b.node as b, sum(least(a.m, b.m)) as shared from s a join s b on a.shingle = b.shingle and a.node < b.node group by all),
+e as (select p.a, p.b from p join z x on x.node = p.a join z y on y.node = p.b where shared >= {SIMILAR}::double * (x.size + y.size - shared)),
+both_ways as (select a, b from e union all select b, a from e),
+reach as (select node, node as root from t union select g.b, r.root from reach r join both_ways g on g.a = r.node),
+rooted as (select node, min(root) as root from reach group by node),
+class as (select root, min(min_id) as class_id, sum(n)::bigint as class_size, count(*) as n_texts from rooted join t using (node) group by root)
+select d.doc_id, c.class_id, c.class_size, c.n_texts from d join t on d.text = t.text join rooted using (node) join class c using (root)
+union all select doc_id, doc_id, 1, 1 from d where text is null or len(w) = 0
+"""

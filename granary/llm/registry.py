@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.ORACLE_SQL}
+    return {"op1_secret_scan": secrets.ORACLE_SQL, "op5_near_duplicates": neardup.ORACLE_SQL}

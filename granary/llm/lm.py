@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import trie
 from granary.llm.hashing import distinct, mix, words
-from granary.llm.shared import Scratch, parts, text_of
+from granary.llm.shared import Scratch, parts, text_of, trim
 
 #: Words of the table that all workers hold, at most (16 bytes each).
 FREQUENT = 1 << 20
@@ -206,7 +206,6 @@ class Model:
         self.table, self.total, self.distinct, self.keys, self.shards = table, total, distinct, keys, len(keys)
         self.norm = total + 0.5 * (distinct + 1)
         self.end = int(np.searchsorted(table.hashes, END_HASH.view(np.uint64)))
-        self.logs = np.log10((table.counts + 0.5) / self.norm)
         #: Places of words that are dealt over several shards, and over how many.
         self.hot = np.flatnonzero(table.counts > SHARD // 2)
         self.split = -(-table.counts[self.hot] * 2 // SHARD)
@@ -251,7 +250,8 @@ class Model:
         out["tokens"] = size + 1
         known = found & (self.table.counts[place] > 0)
         out["known"] = np.bincount(owner[known], minlength=n) + (self.table.counts[self.end] > 0)
-        out["base"] = np.bincount(owner[found], weights=self.logs[place[found]], minlength=n) + self.logs[self.end]
+        logs = np.log10((self.table.counts[place[found]] + 0.5) / self.norm)
+        out["base"] = np.bincount(owner[found], weights=logs, minlength=n) + np.log10((self.table.counts[self.end] + 0.5) / self.norm)
         return out
 
     @cached_property
@@ -311,13 +311,21 @@ class Model:
         """Log probabilities of different grams, in order, by the shard's trie,
         from their counts in training, the words' places, hashes and counts,
         and the counts of hot words' bigrams."""
+        with os.fdopen(os.memfd_create("trie"), "w+b") as f:
+            trie.to_file(trie.Trie.build(self.levels(a, b, c, n, place, hashes, count, pairs), len(place)), f)
+            mapped = trie.open_file(f)
+            return np.concatenate([np.zeros(0), *[mapped.score(np.stack([x[i : i + BLOCK] for x in (a, b, c)], axis=1)) for i in range(0, len(a), BLOCK)]])
+
+    def levels(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, place: np.ndarray, hashes: np.ndarray, count: np.ndarray, pairs: tuple) -> list[tuple]:
+        """The trie's levels: grams, log probabilities and backoffs."""
         v = len(place)
         one = (count + 0.5) / self.norm
         # Bigrams of the shard's middle words, all of them in training counted here or, for hot words, before.
         order, new = ranks([b, c], v)
-        inverse = np.empty(len(order), dtype=np.int64)
-        inverse[order] = np.cumsum(new) - 1
+        inverse = np.empty(len(order), dtype=np.int32)
+        inverse[order] = np.cumsum(new, dtype=np.int32) - 1
         asked = (b.astype(np.int64) * v + c)[order[new]]
+        del order, new
         two_n = np.bincount(inverse, weights=n, minlength=len(asked))
         c2 = np.bincount(asked // v, weights=two_n, minlength=v)
         k2 = np.bincount(asked // v, weights=two_n > 0, minlength=v)
@@ -336,7 +344,7 @@ class Model:
         n3 = n[own]
         context = a[own].astype(np.int64) * v + b[own]
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(context)])
-        context_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+        context_of = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(context))))
         context = context[first]
         total3 = np.bincount(context_of, weights=n3, minlength=len(first))
         kinds3 = np.bincount(context_of, minlength=len(first)).astype(np.float64)
@@ -352,16 +360,11 @@ class Model:
         back1 = np.where(c2 > 0, np.log10(np.maximum(k2, 1) / np.maximum(c2 + k2, 1)), 0.0)
         below = two[of_asked[inverse[own]]] if len(level) else np.zeros(0)
         three = (n3 + kinds3[context_of] * below) / (total3 + kinds3)[context_of]
-        levels = [
-            (np.arange(v)[:, None], np.log10(one), back1),
+        return [
+            (np.arange(v, dtype=np.int32)[:, None], np.log10(one), back1),
             (np.stack([x, y], axis=1).astype(np.int32), np.log10(two), back2),
             (np.stack([a[own], b[own], c[own]], axis=1), np.log10(three), np.zeros(0)),
         ]
-        del x, y, two, back2, three, below, inverse, asked, two_n
-        with os.fdopen(os.memfd_create("trie"), "w+b") as f:
-            trie.to_file(trie.Trie.build(levels, v), f)
-            mapped = trie.open_file(f)
-            return np.concatenate([np.zeros(0), *[mapped.score(np.stack([x[i : i + BLOCK] for x in (a, b, c)], axis=1)) for i in range(0, len(a), BLOCK)]])
 
 
 def keys_for(spark, n: int) -> np.ndarray:
@@ -375,7 +378,7 @@ def keys_for(spark, n: int) -> np.ndarray:
 
 
 #: Grams that are looked up at a time; unit in which a text's sums travel.
-BLOCK, STEP = 1 << 18, 2.0**-12
+BLOCK, STEP = 1 << 17, 2.0**-12
 HEAD = np.dtype([("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("held", "?")])
 SUMS = "shard long, kind int, a long, b long, blob binary"
 #: Kinds of rows that go to the shards.
@@ -461,6 +464,7 @@ def shard_sums(rows: DataFrame, shared) -> DataFrame:
                 if now is not None and shard[x] != now:
                     yield from finish(tables, held)
                     tables, held = ([], []), []
+                    trim()
                 now, part = shard[x], batch.slice(x, y - x)
                 if kind[x] in (LATE, PAIR):
                     tables[kind[x]].append((part.column(2).to_numpy(), part.column(3).to_numpy()))
@@ -469,6 +473,7 @@ def shard_sums(rows: DataFrame, shared) -> DataFrame:
                 else:
                     yield part.select(kept)
         yield from finish(tables, held)
+        trim()
 
     def finish(tables: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -498,13 +503,15 @@ def shard_sums(rows: DataFrame, shared) -> DataFrame:
             at = np.minimum(np.searchsorted(late[0], wanted), len(late[0]) - 1)
             count[~known] = np.maximum(count[~known], np.where(late[0][at] == wanted, late[1][at], 0))
         order, new = ranks([grams[:, 0], grams[:, 1], grams[:, 2]], len(code))
+        order = order.astype(np.int32)
         a, b, c = grams[order[new]].T
         middle = grams[:, 1].copy()
         del grams
         n = np.add.reduceat(trained[order].astype(np.int64), np.flatnonzero(new))
         each = own.scores(a, b, c, n, place, hashes, count, pairs)
         log = np.empty(len(order))
-        log[order] = each[np.cumsum(new) - 1]
+        log[order] = each[np.cumsum(new, dtype=np.int32) - 1]
+        del order, new, each, a, b, c, n
         # Sums by text of each piece.
         lost = ~known[middle]
         first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (blob[1:] != blob[:-1])))

@@ -120,7 +120,8 @@ class Trie:
             last = np.where(counts > 0, word[np.maximum(pointers[1:] - 1, 0)] if len(word) else 0, 0)
             bases = np.concatenate(([0], np.cumsum(last)))
             values = word + np.repeat(bases[:-1], counts)
-            for e in (EliasFano.build(pointers), EliasFano.build(values), EliasFano.build(bases)):
+            for sequence in (pointers, values, bases):
+                e = EliasFano.build(sequence)
                 arrays += [getattr(e, f) for f in EliasFano.FIELDS]
             for x in logs:
                 arrays += quantised(x)

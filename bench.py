@@ -25,8 +25,15 @@ RUNS = {
     "eclat_user_event": ("user_event", "ECLAT", {}),
     "fin_order_attr": ("order_attr", "FIN", {"groups": 8}),
     "fin_cust_brand": ("cust_brand", "FIN", {"groups": 8}),
+    "fin_order_brand": ("order_brand", "FIN", {"groups": 8}),
+    "fin_user_event": ("user_event", "FIN", {}),
     "bigfim_order_attr": ("order_attr", "BIG_FIM", {}),
+    "bigfim_cust_brand": ("cust_brand", "BIG_FIM", {}),
+    "bigfim_order_brand": ("order_brand", "BIG_FIM", {}),
+    "bigfim_user_event": ("user_event", "BIG_FIM", {}),
+    "apriori_order_attr": ("order_attr", "APRIORI", {}),
     "apriori_order_brand": ("order_brand", "APRIORI", {}),
+    "apriori_user_event": ("user_event", "APRIORI", {}),
 }
 
 

@@ -36,6 +36,11 @@ def by_freq(result: DataFrame, key: str = "items", ascending: bool = False) -> D
     return result.orderBy(F.asc("freq") if ascending else F.desc("freq"), key)
 
 
+def by_prefix(result: DataFrame, column: str = "itemset") -> DataFrame:
+    """Itemsets that share all but the last item together, in order."""
+    return result.orderBy(F.slice(column, F.lit(1), F.size(column) - 1), F.element_at(column, -1))
+
+
 def top(result: DataFrame, n: int) -> DataFrame:
     return by_freq(result).limit(n)
 
@@ -62,5 +67,5 @@ def flat(result: DataFrame) -> DataFrame:
 
 
 def local(result: DataFrame) -> list:
-    """Rows on the driver, a partition at a time."""
+    """Rows on the driver, fetched a partition at a time; for small results."""
     return list(result.toLocalIterator())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,7 +17,7 @@ def occurrences(encoded: DataFrame, frequent: DataFrame, size: int) -> DataFrame
 
 
 def tid_lists(rows: DataFrame) -> DataFrame:
-    """(itemset, tids) for small data."""
+    """(itemset, tids) for small data: an itemset's transactions are one row."""
     return rows.groupBy("itemset").agg(F.array_sort(F.collect_list("tid")).alias("tids"))
 
 
@@ -43,6 +43,29 @@ def describe(rows: DataFrame) -> DataFrame:
     return rows.groupBy("itemset").agg(F.count("*").alias("size"), F.min("tid").alias("min"), F.max("tid").alias("max"))
 
 
+def partition_extremes(rows: DataFrame) -> DataFrame:
+    """(part, min, max): the transactions in each partition."""
+    return rows.groupBy(F.spark_partition_id().alias("part")).agg(F.min("tid").alias("min"), F.max("tid").alias("max"))
+
+
+def stored(lists: DataFrame, total: int) -> DataFrame:
+    """(itemset, complement, tids): the transactions that hold an itemset or,
+    where those are more than half of ``total``, the ones that don't.  From
+    (itemset, tids) with numbers from 0 on; for small data, as ``tid_lists``."""
+    many = 2 * F.size("tids") > total
+    return lists.select("itemset", many.alias("complement"), F.when(many, _others(total)).otherwise(F.col("tids")).alias("tids"))
+
+
+def restored(sets: DataFrame, total: int) -> DataFrame:
+    """(itemset, tids) from what ``stored`` gives."""
+    return sets.select("itemset", F.when(F.col("complement"), _others(total)).otherwise(F.col("tids")).alias("tids"))
+
+
+def _others(total: int) -> Column:
+    every = F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long")) if total else F.array().cast("array<bigint>")
+    return F.array_except(every, F.col("tids"))
+
+
 def prefix_classes(frequent: DataFrame) -> DataFrame:
     """(prefix, members, freqs): itemsets of one size that share all but the
     last item."""

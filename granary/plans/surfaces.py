@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from granary import cli
 from granary.functions import bitsets, patterns, subsets
-from granary.operators import apriori, encode, ppc, ranks, results, vertical
+from granary.operators import apriori, eclat, encode, ppc, ranks, results, vertical
 from granary.plans import miners
 from granary.plans.baskets import baskets, supports
 from granary.plans.registry import _CUST, _DICT, _TREE, _fis, _found, _level, _rank_fis, _ranks, _t, _tree, query, run_of
 from granary.session import session
-from granary.sources.transactions import of_arrays, parse_lines, persisted, read_text, resolve_input
+from granary.sources.transactions import numbered, of_arrays, parse_lines, persisted, read_text, resolve_input
 from granary.storage import Scratch
 
 
@@ -69,6 +69,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(key, session().conf.get(key))], "key string, value string")
 
 
+@query("tx_dense_tids", f"with {_t('order_brand')} select count(distinct tid) as n, 0::bigint as lo, (count(distinct tid) - 1)::bigint as hi, count(distinct tid) as numbers from t")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbered(read_text(spark, _lines(spark, sf_dir, "order_brand"), 5))
+    return rows.agg(F.count("*").alias("n"), F.min("tid").alias("lo"), F.max("tid").alias("hi"), F.count_distinct("tid").alias("numbers"))
+
+
 # The command line.
 
 
@@ -219,6 +225,40 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, said)], "parts int, said string")
 
 
+@query(
+    "tids_or_complement",
+    f"with {_ranks('order_attr')}, o as (select tid, unnest(r) as rank from enc), every as (select count(*) as n from enc), s as (select rank, count(*) as freq from o group by rank)"
+    " select rank::varchar as itemset, 2 * freq > n as complement, (case when 2 * freq > n then n - freq else freq end)::int as n_stored, freq::int as freq, true as whole from s, every",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "tids")
+    encoded = scratch.save(run_of(spark, sf_dir, "order_attr").encoding.encoded().where(F.size("r") > 0), "encoded")
+    rows = numbered(encoded).select("tid", F.explode("r").alias("rank"))
+    lists = scratch.save(vertical.tid_lists(rows.select(F.array("rank").alias("itemset"), "tid")), "lists")
+    total = encoded.count()
+    kept = scratch.save(vertical.stored(lists, total), "stored")
+    back = vertical.restored(kept, total).select("itemset", F.array_sort("tids").alias("back"))
+    every = kept.select("itemset", "complement", F.size("tids").alias("n_stored")).join(lists, "itemset").join(back, "itemset")
+    return every.select(_joined("itemset"), "complement", "n_stored", F.size("tids").alias("freq"), (F.col("tids") == F.col("back")).alias("whole"))
+
+
+@query("tid_extremes", f"with {_t('user_event')} select min(tid) as lo, max(tid) as hi from t")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertical.partition_extremes(baskets(spark, sf_dir, "user_event")).agg(F.min("min").alias("lo"), F.max("max").alias("hi"))
+
+
+@query(
+    "eclat_by_prefix",
+    f"with {_rank_fis('order_attr', 3)} select array_to_string(itemset, ',') as itemset, (row_number() over (order by itemset))::int as place from fk",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = run_of(spark, sf_dir, "order_attr")
+    rows = Scratch(spark, "eclat").save(apriori.first_occurrences(run.encoding.patterns()), "rows")
+    found = eclat.eclat(rows, run.encoding.min_count).where(F.size("itemset") == 3)
+    lines = results.local(results.by_prefix(found).select(_joined("itemset")))
+    return spark.createDataFrame([(r[0], i) for i, r in enumerate(lines, 1)], "itemset string, place int")
+
+
 @query("ppc_lookup", f"with {_TREE} select array_to_string(prefix, ',') as prefix, cnt, pre from tree where prefix in ([0], [0, 1], [1, 2])")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _tree(spark, sf_dir)

@@ -6,6 +6,7 @@ import os
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Relative input names are looked up in the folder that this variable names.
@@ -51,6 +52,19 @@ def parse_lines(lines: DataFrame, column: str = "value", drop_empty: bool = Fals
     return lines.select(F.monotonically_increasing_id().alias("tid"), parse_items(F.col(column), drop_empty).alias("items"))
 
 
+def numbered(rows: DataFrame, name: str = "tid") -> DataFrame:
+    """``rows`` with numbers from 0 on without gaps, partition by partition: one
+    more pass counts the partitions' rows, so they must come from a plan that
+    deals them alike each time, as a scan of files does."""
+    own = rows.drop(name).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = own.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each partition
+    placed = own.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
 def read_text(spark: SparkSession, path: str, parts: int | None = None, drop_empty: bool = False) -> DataFrame:
     """Transactions of a text file, one per line, in ``parts`` partitions at
     least if given."""

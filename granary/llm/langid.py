@@ -12,7 +12,8 @@ from a quarter of the sample: the letters of a text shuffled, or replaced by
 letters of another script.  Part of the sample is left out of the training: on
 it a temperature is fitted, so that scores are calibrated, and the chance of
 "none" over which a text is rejected, such that at most a share LOST of its
-rightly classified texts would be, with MARGIN to spare; it is half at least.
+rightly classified texts would be, with MARGIN to spare; it is LEAST at least, so
+that short or odd texts stay.
 
 For prediction, embedding and softmax weights fold into one table of BUCKETS x
 classes where that is the smaller one, so each subword costs one lookup.
@@ -41,8 +42,8 @@ BUCKETS, DIM, FIT_ROWS = 1 << 16, 16, 4000
 EPOCHS, RATE, SEED = 8, 1.0, 11
 #: How far a step moves a text's mean embedding, against the softmax weights.
 NUDGE = 0.1
-#: Share of right calibration texts that rejection may lose, and how far the limit lies beyond, in logits.
-LOST, MARGIN = 0.001, 2.0
+#: Share of right calibration texts that rejection may lose, how far the limit lies beyond, in logits, and the least limit.
+LOST, MARGIN, LEAST = 0.001, 2.0, 0.95
 #: First letters of scripts in which examples of no language are written, and how many letters are used of each.
 SCRIPTS, LETTERS = (0x0391, 0x0430, 0x05D0, 0x0627, 0x0905, 0x0E01, 0x10D0, 0x3041, 0x4E00, 0xAC00), 24
 
@@ -165,7 +166,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
     if right.any():
         none = p[right, -1].clip(1e-9, 1 - 1e-9)
         limit = np.quantile(np.log(none / (1 - none)), 1 - LOST, method="higher") + MARGIN
-        model.reject = float(max(0.5, 1 / (1 + np.exp(-limit))))
+        model.reject = float(max(LEAST, 1 / (1 + np.exp(-limit))))
     return model
 
 
